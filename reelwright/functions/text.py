@@ -75,4 +75,4 @@ def extract_url_key(url: Column, params: Sequence[str] = CREDENTIAL_PARAMS) -> C
 
 def cache_key_hash(*fields: Column) -> Column:
     """Sixteen hex digits that identify a set of parameters (given in name order)."""
-    return F.substring(F.md5(F.to_json(F.struct(*fields))), 1, 16)
+    return F.substring(F.md5(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})), 1, 16)

@@ -134,37 +134,40 @@ def dedupe_by_path(members: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------- rating
 
 
-def item_score(prefix: str = "") -> Column:
-    """Score breakdown of a catalogue item for duplicate selection."""
-
-    def col(name: str) -> Column:
-        return F.col(prefix + name)
-
-    video = first_stream(col("media_streams"), "Video")
-    audio = first_stream(col("media_streams"), "Audio")
+def item_score() -> Column:
+    """Score breakdown of an item that carries its first ``_video`` and ``_audio`` stream."""
+    video, audio = F.col("_video"), F.col("_audio")
     width = F.coalesce(video["width"], F.lit(0)).cast("bigint")
     height = F.coalesce(video["height"], F.lit(0))
-    bitrate = F.coalesce(F.nullif(video["bit_rate"], F.lit(0)), col("bitrate"), F.lit(0))
+    bitrate = F.coalesce(F.nullif(video["bit_rate"], F.lit(0)), F.col("bitrate"), F.lit(0))
     return quality.quality_score(
         megapixels=(width * height) / F.lit(1e6),
         height=height,
-        hdr=quality.hdr_bonus_with_name(video["video_range"], col("name"), col("path")),
+        hdr=quality.hdr_bonus_with_name(video["video_range"], F.col("name"), F.col("path")),
         bitrate_mbps=F.greatest(bitrate / F.lit(1e6), F.lit(0.0)),
         channels=F.coalesce(audio["channels"], F.lit(0)),
-        date_rating=dates.date_rating_exact(col("date_created")),
+        date_rating=dates.date_rating_exact(F.col("date_created")),
         codec=video["codec"],
-        source=quality.source_multiplier(col("path"), col("name")),
-        ai_upscale=quality.is_ai_upscale(col("path"), col("name")),
+        source=quality.source_multiplier(F.col("path"), F.col("name")),
+        ai_upscale=quality.is_ai_upscale(F.col("path"), F.col("name")),
         dovi_p5=quality.is_dovi_p5(video),
-        size_bytes=F.coalesce(col("size"), F.lit(0)),
-        duration_minutes=dates.ticks_to_minutes(col("runtime_ticks")),
+        size_bytes=F.coalesce("size", F.lit(0)),
+        duration_minutes=dates.ticks_to_minutes(F.col("runtime_ticks")),
+    )
+
+
+def with_streams(items: DataFrame) -> DataFrame:
+    """Adds the first video and audio stream once, for the many expressions that read them."""
+    streams = F.col("media_streams")
+    return items.withColumn("_video", first_stream(streams, "Video")).withColumn(
+        "_audio", first_stream(streams, "Audio")
     )
 
 
 def rate_items(items: DataFrame) -> DataFrame:
     """Items that have streams, with their score breakdown and rating."""
-    scored = items.where("media_streams IS NOT NULL").withColumn("score", item_score())
-    return scored.withColumn("rating", F.col("score.total"))
+    scored = with_streams(items.where("media_streams IS NOT NULL")).withColumn("score", item_score())
+    return scored.withColumn("rating", F.col("score.total")).drop("_video", "_audio")
 
 
 def quality_description() -> Column:

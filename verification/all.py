@@ -1,4 +1,9 @@
 """Imports every family, which registers its queries."""
 
-from verification import dedupe  # noqa: F401
-from verification.registry import oracle_sql, queries  # noqa: F401
+import importlib
+
+FAMILIES = ("dedupe", "retention", "scalars", "gaps")
+for family in FAMILIES:
+    importlib.import_module(f"verification.{family}")
+
+from verification.registry import oracle_sql, queries  # noqa: E402,F401
