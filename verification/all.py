@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("dedupe", "retention", "scalars", "gaps")
+FAMILIES = ("dedupe", "retention", "scalars", "gaps", "genres", "localize")
 for family in FAMILIES:
     importlib.import_module(f"verification.{family}")
 
