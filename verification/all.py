@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("dedupe", "retention", "scalars", "gaps", "genres", "localize")
+FAMILIES = ("dedupe", "retention", "scalars", "gaps", "genres", "localize", "playback", "inventory")
 for family in FAMILIES:
     importlib.import_module(f"verification.{family}")
 

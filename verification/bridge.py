@@ -229,7 +229,7 @@ INVENTORY_LEVELS: list[Level] = [
         "prev_mtime": "cast(d as double) * 1.5",
         "cur_mtime": "cast(d as double) * 1.5 + CASE WHEN d % 13 = 0 THEN 1.0 ELSE 0.0 END",
         "prev_status": "CASE WHEN d % 23 = 0 THEN 'ignored' WHEN d % 29 = 0 THEN 'converted' "
-                       "WHEN d % 31 = 0 THEN 'failed' WHEN d % 9 = 0 OR d % 77 = 0 THEN 'needs_rebuild' "
+                       "WHEN d % 31 = 0 THEN 'failed' WHEN d % 9 = 0 OR d % 22 = 0 THEN 'needs_rebuild' "
                        "ELSE 'ok' END",
         "prev_fail_count": "cast(d % 4 as int)",
         "prev_first_seen": "CASE WHEN d % 19 <> 0 THEN DAY(TIMESTAMP '2023-05-01 00:00:00') END",
