@@ -50,7 +50,8 @@ def date_rating_exact(text: Column) -> Column:
 def date_rating_day(text: Column, as_of_epoch: int) -> Column:
     """Epoch seconds of the day, not later than the reference moment, 0 when unreadable."""
     moment = F.unix_timestamp(F.when(text.contains("T"), iso_date(text)).cast("timestamp"))
-    return F.coalesce(F.least(moment, F.lit(as_of_epoch).cast("bigint")), F.lit(0).cast("bigint"))
+    capped = F.when(moment.isNotNull(), F.least(moment, F.lit(as_of_epoch).cast("bigint")))
+    return F.coalesce(capped, F.lit(0).cast("bigint"))
 
 
 def _shown(text: Column, pattern: str) -> Column:

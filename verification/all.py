@@ -2,7 +2,8 @@
 
 import importlib
 
-FAMILIES = ("dedupe", "retention", "scalars", "gaps", "genres", "localize", "playback", "inventory")
+FAMILIES = ("dedupe", "retention", "scalars", "gaps", "genres", "localize", "playback", "inventory", "match",
+            "streams")
 for family in FAMILIES:
     importlib.import_module(f"verification.{family}")
 

@@ -226,13 +226,13 @@ def _(b: Bridge):
 
 
 # ----------------------------------------------------------------------------- rating
-@query("rate_items", """SELECT item_id, round(total, 5) AS rating, round(credit, 6) AS credit, starved, hdr_part AS hdr,
-round(mbps, 6) AS bitrate, audio_part AS audio, src_m AS source, ai_m AS ai, p5_m AS dovi_p5 FROM o_scored""")
+@query("rate_items", """SELECT item_id, total AS rating, credit, starved, hdr_part AS hdr,
+mbps AS bitrate, audio_part AS audio, src_m AS source, ai_m AS ai, p5_m AS dovi_p5 FROM o_scored""")
 def _(b: Bridge):
     s = F.col("score")
     return select.rate_items(b.items).select(
-        "item_id", F.round("rating", 5).alias("rating"), F.round(s["resolution_credit"], 6).alias("credit"),
-        s["starved"].alias("starved"), s["hdr"].alias("hdr"), F.round(s["bitrate"], 6).alias("bitrate"),
+        "item_id", F.col("rating").alias("rating"), s["resolution_credit"].alias("credit"),
+        s["starved"].alias("starved"), s["hdr"].alias("hdr"), s["bitrate"].alias("bitrate"),
         s["audio"].alias("audio"), s["source_multiplier"].alias("source"), s["ai_multiplier"].alias("ai"),
         s["dovi_p5_multiplier"].alias("dovi_p5"))
 
@@ -249,11 +249,11 @@ def _(b: Bridge):
         "group_id", "best_quality_id", "best_language_id", "override", "keep_id")
 
 
-@query("select_keep_delete", """SELECT group_id, item_id, role, round(total, 5) AS rating, selected_by_language, changed_by_language,
+@query("select_keep_delete", """SELECT group_id, item_id, role, total AS rating, selected_by_language, changed_by_language,
 priority_language_used FROM o_decisions""")
 def _(b: Bridge):
     return dedupe.decide(b.items, PARAMS).select(
-        "group_id", "item_id", "role", F.round("rating", 5).alias("rating"), "selected_by_language",
+        "group_id", "item_id", "role", F.col("rating").alias("rating"), "selected_by_language",
         "changed_by_language", "priority_language_used")
 
 

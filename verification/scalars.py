@@ -180,7 +180,7 @@ def _(b: Bridge):
 
 
 @query("date_rating", f"""SELECT item_id, coalesce(epoch(try_cast(date_created AS timestamp)), 0)::bigint AS exact,
-coalesce(least(epoch(try_cast(date_created AS date)), {AS_OF_EPOCH - 200 * 86400}), 0)::bigint AS by_day FROM b_items""")
+CASE WHEN try_cast(date_created AS date) IS NULL THEN 0 ELSE least(epoch(try_cast(date_created AS date)), {AS_OF_EPOCH - 200 * 86400}) END::bigint AS by_day FROM b_items""")
 def _(b: Bridge):
     return b.items.select("item_id", dates.date_rating_exact(F.col("date_created")).alias("exact"),
                           dates.date_rating_day(F.col("date_created"), AS_OF_EPOCH - 200 * 86400).alias("by_day"))
