@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelwright.operators.grouping import spread_join
 from reelwright.session import cut_lineage
 
 
@@ -17,13 +18,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest label around the node."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return spread_join(both.where("v > u"), lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours all move to the smallest of them."""
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(edges, lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(lowest.select("u", F.col("m").alias("v")))
 
 
@@ -31,7 +32,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(item_id, component) for every node of ``edges`` (src, dst); the label is the least id."""
     current = edges.where("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
-    ).distinct()
+    )
     current = cut_lineage(current)
     for _ in range(max_rounds):
         step = cut_lineage(_small_star(_large_star(current)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright.constants import QUIET_SECONDS
+from reelwright.operators.grouping import spread_join
 
 
 def quiet_batches(events: DataFrame, quiet_seconds: int = QUIET_SECONDS) -> DataFrame:
@@ -24,7 +25,7 @@ def quiet_batches(events: DataFrame, quiet_seconds: int = QUIET_SECONDS) -> Data
         "batch_start", F.last("_opens", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ends = Window.partitionBy("batch_start")
     numbered = numbered.select("slot", "batch_start", F.max("last_ts").over(ends).alias("batch_end"))
-    return rows.join(numbered, "slot").drop("slot")
+    return spread_join(rows, numbered, "slot").drop("slot")
 
 
 def debounce_batches(routed: DataFrame, quiet_seconds: int = QUIET_SECONDS) -> DataFrame:

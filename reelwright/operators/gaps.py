@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reelwright.functions.display import display_name_year
 from reelwright.functions.util import first_non_blank, lower_keys, non_blank, provider_id
-from reelwright.operators.grouping import first_per_key, joined_top
+from reelwright.operators.grouping import first_per_key, joined_top, spread_join
 
 UNKNOWN_SERIES = "Unknown Series"
 EPISODES_PER_BLOCK = 1000
@@ -133,7 +133,7 @@ def missing_text_rows(deduped: DataFrame) -> DataFrame:
         F.lit("Episode "), F.col("episode").cast("string"), F.lit(": "), F.coalesce("name", F.lit("Unknown Episode")),
         F.when(non_blank(date), F.concat(F.lit(" (Air Date: "), date, F.lit(")"))).otherwise(F.lit("")),
     )
-    rows = deduped.join(totals, "series_name").select(
+    rows = spread_join(deduped, totals, "series_name").select(
         "series_missing", "series_name", "season", "episode", label.alias("season_label"), line.alias("line")
     )
     return rows.orderBy(F.desc("series_missing"), "series_name", "season", "episode")
@@ -217,7 +217,7 @@ def library_collections(owned: DataFrame, memberships: DataFrame, parts: DataFra
         memberships.join(owned.select(F.col("tmdb_id").alias("part_id")), "part_id", "left_semi")
         .select("collection_id").distinct()
     )
-    return parts.join(touched, "collection_id", "left_semi")
+    return spread_join(parts, touched, "collection_id", "left_semi")
 
 
 def _tagged_parts(parts: DataFrame, owned: DataFrame, max_year: int, excluded_year: int | None) -> DataFrame:
@@ -265,7 +265,8 @@ def export_franchises(parts: DataFrame, owned: DataFrame, max_year: int, min_pct
     wanted = counts.where((F.col("pct") >= min_pct) & F.col("missing").between(low, high)).select(
         "collection_id", "total_parts", "have", F.col("missing").alias("n_missing"))
     tagged = _tagged_parts(parts, owned, max_year, excluded_year).where("missing")
-    return tagged.select("collection_id", "collection_name", "part_id", "title", "year").join(wanted, "collection_id")
+    rows = tagged.select("collection_id", "collection_name", "part_id", "title", "year")
+    return spread_join(rows, wanted, "collection_id")
 
 
 # ---------------------------------------------------------------------- popular titles
@@ -309,7 +310,7 @@ def export_shows(complete: DataFrame, missing: DataFrame, low: int, high: int, m
         "item_id", show.alias("show"), F.try_element_at(lower_keys(F.col("provider_ids")), F.lit("imdb")).alias("imdb_id"),
         F.nullif("production_year", F.lit(0)).alias("year"), "n_episodes",
     )
-    return heads.join(wanted, "item_id").orderBy("n_episodes", "item_id", "season", "episode")
+    return spread_join(wanted, heads, "item_id").orderBy("n_episodes", "item_id", "season", "episode")
 
 
 def export_header(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A window over a hot key sorts all its rows in one task. These helpers avoid that: group
 values come from aggregates that combine before the shuffle, and are joined back with a join
-whose hot partition AQE splits; ranked picks use a small k, for which Spark drops all but k
+whose hot partition AQE can split; ranked picks use a small k, for which Spark drops all but k
 rows per key before the shuffle.
 """
 
@@ -14,11 +14,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "inner") -> DataFrame:
+    """Equi join of rows with a side that has one row per key, safe for hot keys on the left.
+
+    AQE splits a hot partition only when both sides come straight from a shuffle made for the
+    join. A side that was just grouped by the keys would skip that shuffle and rule the split
+    out. The extra hash in the join key asks for it: the grouped side, one row per key, moves
+    once more, and a key with a third of all rows is worked on by many tasks.
+    """
+    names = [keys] if isinstance(keys, str) else list(keys)
+    spread = F.xxhash64(*names)
+    joined = left.withColumn("_spread", spread).join(right.withColumn("_spread", spread), [*names, "_spread"], how)
+    return joined.drop("_spread")
+
+
 def attach_group_values(df: DataFrame, keys: Sequence[str], **values: Column) -> DataFrame:
     """Every row with aggregates of its group; keys must not be null."""
     keys = list(keys)
     totals = df.groupBy(*keys).agg(*[v.alias(n) for n, v in values.items()])
-    return df.join(totals, keys)
+    return spread_join(df, totals, keys)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reelwright import constants as K
 from reelwright.functions import paths as P
 from reelwright.functions.util import non_blank
-from reelwright.operators.grouping import attach_group_values
+from reelwright.operators.grouping import attach_group_values, spread_join
 
 
 def known_paths(decisions: DataFrame, library_paths: DataFrame | None = None) -> DataFrame:
@@ -51,9 +51,8 @@ def delete_safe(pairs: DataFrame, known: DataFrame, deletes: DataFrame) -> DataF
         pairs.withColumn("dp", P.path_norm(F.col("delete_path")))
         .withColumn("kp", P.path_norm(F.col("keeper_path")))
         .withColumn("dir", P.parent_dir(F.col("dp")))
-        .join(per_dir, "dir", "left")
-        .join(staying, "kp", "left")
     )
+    rows = spread_join(spread_join(rows, per_dir, "dir", "left"), staying, "kp", "left")
     own = F.when(
         F.coalesce("keeper_stays", F.lit(False)) & (P.parent_dir(F.col("kp")) == F.col("dir"))
         & (F.col("kp") != F.col("dp")), F.lit(1),
@@ -100,9 +99,8 @@ def cleanup_delete_safe(targets: DataFrame, known: DataFrame, deletes: DataFrame
     rows = (
         targets.withColumn("dp", P.path_norm(F.col("delete_path")))
         .withColumn("dir", P.parent_dir(F.col("dp")))
-        .join(below, "dir", "left")
-        .join(direct, "dir", "left")
     )
+    rows = spread_join(spread_join(rows, below, "dir", "left"), direct, "dir", "left")
     n_below = F.coalesce("n_below", F.lit(0))
     verdict = (
         F.when(F.col("dp") == "", F.lit("no delete path"))
@@ -186,12 +184,9 @@ def owned_folder(files: DataFrame) -> DataFrame:
     siblings = rows.where(primary).select(
         "dir", F.col("_name").alias("_sibling"), F.lit(1).alias("has_sibling")
     ).distinct()
-    joined = (
-        rows.withColumn("_primary", primary.cast("int"))
-        .withColumn("_sibling", F.concat("_stem", F.lit(f"{K.CONVERTED_SUFFIX}.mkv")))
-        .join(per_dir, "dir")
-        .join(siblings, ["dir", "_sibling"], "left")
-    )
+    named = rows.withColumn("_primary", primary.cast("int")).withColumn(
+        "_sibling", F.concat("_stem", F.lit(f"{K.CONVERTED_SUFFIX}.mkv")))
+    joined = spread_join(named, per_dir, "dir").join(siblings, ["dir", "_sibling"], "left")
     others = F.col("n_primary") - F.col("_primary") - F.coalesce("has_sibling", F.lit(0))
     owned = P.is_per_title(F.col("path")) | (others == 0)
     return joined.withColumn("owned", owned).drop(

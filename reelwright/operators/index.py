@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelwright.constants import PLACEHOLDER_IMDB, PROVIDERS
 from reelwright.functions.util import lower_keys, non_blank
+from reelwright.operators.grouping import spread_join
 
 INDEX_COLUMNS = ("provider", "pid", "item_id", "library", "is_episode", "series_name", "season", "episode")
 
@@ -88,7 +89,7 @@ def duplicate_edges(index: DataFrame, excluded_ids: Sequence[str] = ()) -> DataF
         F.min("item_id").alias("dst"), F.max("item_id").alias("_last")
     ).where("dst <> _last").drop("_last")
     return (
-        members.join(centres, ["provider", "link"])
+        spread_join(members, centres, ["provider", "link"])
         .where("item_id <> dst")
         .select(F.col("item_id").alias("src"), "dst")
         .distinct()

@@ -118,8 +118,8 @@ def pick_by_language_chain(localized: Column, field: str, current: Column,
 
 
 def pick_year(localized: Column) -> Column:
-    """First non-empty year of any language as a number."""
-    years = F.transform(F.map_values(localized), lambda v: v["year"])
+    """First non-empty year of any language, languages in name order, as a number."""
+    years = F.transform(F.array_sort(F.map_entries(localized)), lambda e: e["value"]["year"])
     return F.try_element_at(F.filter(years, non_blank), F.lit(1)).try_cast("int")
 
 

@@ -19,7 +19,9 @@ from reelwright.functions import dates, quality
 from reelwright.functions.streams import language_rank
 from reelwright.functions.text import normalize_title
 from reelwright.functions.util import lower_keys, non_blank
+from reelwright.operators.grouping import spread_join
 from reelwright.operators.select import override_condition, with_streams
+from reelwright.session import cut_lineage
 
 GRAM = 4
 SET_COLUMNS = ("n_items", "by_language", "by_quality")
@@ -155,7 +157,7 @@ def _first_hit(hits: DataFrame, values: Sequence[str]) -> DataFrame:
 
 def match_by_provider(proposals: DataFrame, scored: DataFrame) -> DataFrame:
     """Proposals with the candidate set of the first provider id that the library knows."""
-    hits = _asked_ids(proposals).join(provider_sets(scored), ["provider", "pid"])
+    hits = spread_join(_asked_ids(proposals), provider_sets(scored), ["provider", "pid"])
     return _first_hit(hits, ["provider", "pid", *SET_COLUMNS])
 
 
@@ -164,7 +166,7 @@ def find_series(proposals: DataFrame, series: DataFrame) -> DataFrame:
     ids = series.select("item_id", F.explode(lower_keys(F.col("provider_ids"))).alias("provider", "pid"))
     owners = ids.where(F.col("provider").isin(*K.PROVIDERS) & non_blank(F.col("pid"))).groupBy(
         "provider", F.lower("pid").alias("pid")).agg(F.min("item_id").alias("series_id"))
-    return _first_hit(_asked_ids(proposals).join(owners, ["provider", "pid"]), ["series_id"]).drop("place")
+    return _first_hit(spread_join(_asked_ids(proposals), owners, ["provider", "pid"]), ["series_id"]).drop("place")
 
 
 def match_episode(proposals: DataFrame, scored: DataFrame, found_series: DataFrame) -> DataFrame:
@@ -173,8 +175,8 @@ def match_episode(proposals: DataFrame, scored: DataFrame, found_series: DataFra
     A found series without the episode stays in the result, which rules out a search by name.
     """
     asked = proposals.where("season IS NOT NULL AND episode IS NOT NULL").select("proposal_id", "season", "episode")
-    return asked.join(found_series, "proposal_id").join(
-        episode_sets(scored), ["series_id", "season", "episode"], "left")
+    return spread_join(asked.join(found_series, "proposal_id"), episode_sets(scored),
+                       ["series_id", "season", "episode"], "left")
 
 
 # ------------------------------------------------------------------------------- titles
@@ -205,10 +207,11 @@ def _inside(small: DataFrame, large: DataFrame) -> DataFrame:
 def title_pairs(left: DataFrame, right: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(left, right) of the distinct normalised titles that match.
 
-    Inputs have a column ``title``. Titles that normalise to nothing match each other only.
+    Inputs have a column ``title``. Titles that normalise to nothing match each other only. The
+    distinct titles are read several times, so they are written to the checkpoint folder once.
     """
-    a = left.select(normalize_title(F.col("title")).alias("left")).where("left IS NOT NULL").distinct()
-    b = right.select(normalize_title(F.col("title")).alias("right")).where("right IS NOT NULL").distinct()
+    a = cut_lineage(left.select(normalize_title(F.col("title")).alias("left")).where("left IS NOT NULL").distinct())
+    b = cut_lineage(right.select(normalize_title(F.col("title")).alias("right")).where("right IS NOT NULL").distinct())
     same = a.join(b, a["left"] == b["right"])
     if not fuzzy:
         return same
@@ -238,7 +241,7 @@ def match_by_name(proposals: DataFrame, scored: DataFrame) -> DataFrame:
         (F.col("kind") == "") | (F.col("kind") == F.col("type")))
     met = requests.join(pairs, "left").join(titles, "right").where(fits)
     sets = _merge_leaders(met, ["left", "asked_year", "kind"])
-    return asked.withColumnRenamed("norm", "left").join(sets, ["left", "asked_year", "kind"]).select("proposal_id", *SET_COLUMNS)
+    return spread_join(asked.withColumnRenamed("norm", "left"), sets, ["left", "asked_year", "kind"]).select("proposal_id", *SET_COLUMNS)
 
 
 def find_series_by_name(proposals: DataFrame, series: DataFrame) -> DataFrame:
@@ -247,7 +250,7 @@ def find_series_by_name(proposals: DataFrame, series: DataFrame) -> DataFrame:
     heads = _titled(series).groupBy(F.col("norm").alias("right")).agg(F.min("item_id").alias("series_id"))
     pairs = title_pairs(asked.select(F.col("left").alias("title")), heads.select(F.col("right").alias("title")))
     first = pairs.join(heads, "right").groupBy("left").agg(F.min("series_id").alias("series_id"))
-    return asked.join(first, "left").select("proposal_id", "series_id")
+    return spread_join(asked, first, "left").select("proposal_id", "series_id")
 
 
 # ------------------------------------------------------------------------------ cascade
@@ -268,16 +271,15 @@ def match_cascade(proposals: DataFrame, scored: DataFrame, series: DataFrame, ex
     """
     open_ones = proposals.where(~is_excluded(excluded))
     sets = [F.col(c) for c in SET_COLUMNS]
-    by_id = match_by_provider(open_ones, scored).select("proposal_id", F.lit("provider").alias("tier"), F.lit(1).alias("order"), *sets)
     numbered = F.col("season").isNotNull() & F.col("episode").isNotNull()
-    by_series = match_episode(open_ones, scored, find_series(open_ones, series)).select(
-        "proposal_id", F.lit("series").alias("tier"), F.lit(2).alias("order"), *sets)
+    by_id = match_by_provider(open_ones, scored).select("proposal_id", F.lit("provider").alias("tier"), F.lit(1).alias("order"), *sets)
     by_name = match_by_name(open_ones.where(~numbered), scored).select(
         "proposal_id", F.lit("name").alias("tier"), F.lit(3).alias("order"), *sets)
-    named_series = find_series_by_name(open_ones.where(numbered), series)
-    by_series_name = match_episode(open_ones, scored, named_series).select(
-        "proposal_id", F.lit("name").alias("tier"), F.lit(3).alias("order"), *sets)
-    hits = by_id.unionByName(by_series).unionByName(by_name).unionByName(by_series_name)
+    owners = find_series(open_ones.where(numbered), series).select("*", F.lit("series").alias("tier"), F.lit(2).alias("order")).unionByName(
+        find_series_by_name(open_ones.where(numbered), series).select("*", F.lit("name").alias("tier"), F.lit(3).alias("order")))
+    owner = owners.groupBy("proposal_id").agg(F.min(F.struct("order", "tier", "series_id")).alias("o")).select("proposal_id", "o.*")
+    by_episode = match_episode(open_ones, scored, owner).select("proposal_id", "tier", "order", *sets)
+    hits = by_id.unionByName(by_episode).unionByName(by_name)
     first = hits.groupBy("proposal_id").agg(F.min_by(F.struct("tier", *SET_COLUMNS), "order").alias("v"))
     settled = proposals.join(first.select("proposal_id", "v.*"), "proposal_id", "left")
     tier = F.when(is_excluded(excluded), "excluded").otherwise(F.coalesce("tier", F.lit("none")))

@@ -18,7 +18,7 @@ from reelwright.functions.streams import (
     normalize_priorities,
 )
 from reelwright.functions.util import lower_keys, non_blank, provider_id
-from reelwright.operators.grouping import attach_group_values, first_per_key
+from reelwright.operators.grouping import attach_group_values, first_per_key, spread_join
 
 # ---------------------------------------------------------------------------- groups
 
@@ -82,7 +82,7 @@ def exclusion_hits(members: DataFrame, excluded_ids: Sequence[str]) -> DataFrame
 
 def group_exclusion(members: DataFrame, excluded_ids: Sequence[str]) -> DataFrame:
     """Members of the groups without any excluded id."""
-    return members.join(exclusion_hits(members, excluded_ids), "group_id", "left_anti")
+    return spread_join(members, exclusion_hits(members, excluded_ids), "group_id", "left_anti")
 
 
 def excluded_report(members: DataFrame, excluded_ids: Sequence[str]) -> DataFrame:
@@ -116,7 +116,7 @@ def episode_path_filter(members: DataFrame) -> DataFrame:
     best = counts.groupBy("group_id").agg(
         F.min(F.struct((-F.col("n")).alias("n"), F.col("_key").alias("key")))["key"].alias("_best")
     )
-    joined = keyed.join(best, "group_id", "left")
+    joined = spread_join(keyed, best, "group_id", "left")
     return joined.where("_key IS NULL OR _key = _best").drop("_key", "_best")
 
 
@@ -127,7 +127,7 @@ def dedupe_by_path(members: DataFrame) -> DataFrame:
         F.min("path").alias("_first"), F.max("path").alias("_last")
     ).where("_first <> _last").select("group_id")
     return first_per_key(
-        with_path.join(several, "group_id", "left_semi"), ["group_id", "path"], [F.col("item_id")]
+        spread_join(with_path, several, "group_id", "left_semi"), ["group_id", "path"], [F.col("item_id")]
     )
 
 
@@ -305,7 +305,7 @@ def select_keep_delete(ranked: DataFrame) -> DataFrame:
         (used & (F.col("keep_id") != F.col("best_quality_id"))).alias("changed_by_language"),
         "priority_language_used",
     )
-    joined = ranked.join(choice, "group_id")
+    joined = spread_join(ranked, choice, "group_id")
     keep = F.col("item_id") == F.col("keep_id")
     return joined.withColumn("role", F.when(keep, F.lit("keep")).otherwise(F.lit("delete")))
 
@@ -316,7 +316,7 @@ def enrich_decision(decisions: DataFrame) -> DataFrame:
         "group_id", F.coalesce("name", F.lit("Unknown Group")).alias("group_name"),
         F.col("path").alias("keep_path"), F.col("runtime_ticks").alias("keep_runtime_ticks"),
     )
-    return decisions.join(keepers, "group_id")
+    return spread_join(decisions, keepers, "group_id")
 
 
 def poster_fallback(image_url: Column, provider: Column, tmdb_id: Column, base: str) -> Column:
