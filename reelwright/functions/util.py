@@ -21,6 +21,12 @@ def first_non_blank(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
+def first_filled(*cols: Column) -> Column:
+    """``first_non_blank`` that names each input once, for inputs that are costly to compute."""
+    filled = F.filter(F.array(*cols), lambda c: c.isNotNull() & (c != ""))
+    return F.try_element_at(filled, F.lit(1))
+
+
 def literal_map(entries: Mapping[str, object]) -> Column:
     """A constant map column; Catalyst folds it once per plan."""
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from reelwright import schemas
 from reelwright.constants import ITEM_ADDED_EVENTS
-from reelwright.functions.util import first_non_blank, non_blank
+from reelwright.functions.util import first_filled, non_blank
 
-_ITEM = "struct<Type:string,Id:string,ratingKey:string,SeriesId:string,SeriesName:string,Name:string,title:string>"
-# Keys that differ in case only are told apart by reading the body twice.
-BODY_UPPER = f"Event string, Item {_ITEM}, Metadata {_ITEM}, Title string"
-BODY_LOWER = f"event string, item {_ITEM}"
+ITEM = "Type string, Id string, ratingKey string, SeriesId string, SeriesName string, Name string, title string"
 
 
 def read_stream(spark: SparkSession, path: str, fmt: str = "json", max_files: int = 100) -> DataFrame:
@@ -27,36 +24,35 @@ def _raw(body: Column, key: str) -> Column:
 def parse_events(rows: DataFrame) -> DataFrame:
     """Event name, the item to describe and the item whose genres count.
 
-    Genres belong to the series of an episode, descriptions to the item itself. A body that is
-    no JSON object is searched for the same fields.
+    Genres belong to the series of an episode, descriptions to the item itself. The body is read
+    as a map, as its keys come in two spellings; one that is no JSON object is searched for the
+    same fields as text.
     """
-    body = F.trim("body")
-    upper, lower = F.from_json(body, BODY_UPPER), F.from_json(body, BODY_LOWER)
-    is_json = F.coalesce(body.startswith("{") & F.get_json_object(body, "$").isNotNull(), F.lit(False))
-    parsed = rows.withColumn("_u", upper).withColumn("_l", lower).withColumn("_json", is_json)
-    parsed = parsed.withColumn("_item", F.coalesce(F.col("_u.Item"), F.col("_u.Metadata"), F.col("_l.item")))
+    fields = F.from_json(F.trim("body"), "map<string,string>")
+    parsed = rows.withColumn("_f", fields)
+    item_text = F.coalesce(*[F.try_element_at("_f", F.lit(k)) for k in ("Item", "Metadata", "item")])
+    parsed = parsed.withColumn("_item", F.from_json(item_text, ITEM))
     item = F.col("_item")
-    own_id = first_non_blank(item["Id"], item["ratingKey"])
-    own_name = F.coalesce(item["Name"], F.lit(""))
-    title = F.coalesce(first_non_blank(item["Name"], item["title"], F.col("_u.Title")), F.lit("unknown"))
-    is_episode = F.coalesce(item["Type"] == "Episode", F.lit(False))
-    series_name = F.coalesce(F.nullif(item["SeriesName"], F.lit("")), F.lit("unknown"))
-    has_series = is_episode & non_blank(item["SeriesId"])
-    raw_id = F.nullif(_raw(body, "Id"), F.lit(""))
-    raw_title = F.coalesce(F.nullif(_raw(body, "Name|title|Title"), F.lit("")), F.lit("unknown"))
-    desc_name = F.when(is_episode, F.concat(series_name, F.lit(" – "), own_name)).otherwise(title)
-    genre_name = F.when(has_series, series_name).when(is_episode, own_name).otherwise(title)
-    json = F.col("_json")
-
-    def either(from_json: Column, from_text: Column) -> Column:
-        return F.when(json, from_json).otherwise(from_text)
-
-    return parsed.select(
-        *rows.columns,
-        either(F.coalesce(first_non_blank(F.col("_u.Event"), F.col("_l.event")), F.lit("")), _raw(body, "[Ee]vent")).alias("event"),
-        either(own_id, raw_id).alias("desc_id"), either(desc_name, raw_title).alias("desc_name"),
-        either(F.when(has_series, item["SeriesId"]).otherwise(own_id), raw_id).alias("genre_id"),
-        either(genre_name, raw_title).alias("genre_name"),
+    json = F.size("_f") > 0
+    own_id = first_filled(item["Id"], item["ratingKey"])
+    title = F.coalesce(first_filled(item["Name"], item["title"], F.try_element_at("_f", F.lit("Title"))), F.lit("unknown"))
+    event = first_filled(F.try_element_at("_f", F.lit("Event")), F.try_element_at("_f", F.lit("event")))
+    named = parsed.select(
+        *rows.columns, json.alias("_json"), F.coalesce(item["Type"] == "Episode", F.lit(False)).alias("_episode"),
+        F.when(json, F.coalesce(event, F.lit(""))).otherwise(_raw(F.col("body"), "[Ee]vent")).alias("event"),
+        F.when(json, own_id).otherwise(first_filled(_raw(F.col("body"), "Id"))).alias("desc_id"),
+        F.when(json, title).otherwise(
+            F.coalesce(first_filled(_raw(F.col("body"), "Name|title|Title")), F.lit("unknown"))).alias("_title"),
+        F.coalesce(item["Name"], F.lit("")).alias("_name"), first_filled(item["SeriesId"]).alias("_series_id"),
+        F.coalesce(first_filled(item["SeriesName"]), F.lit("unknown")).alias("_series"),
+    )
+    episode = F.coalesce(F.col("_json"), F.lit(False)) & F.col("_episode")
+    of_series = episode & F.col("_series_id").isNotNull()
+    return named.select(
+        *rows.columns, "event", "desc_id",
+        F.when(episode, F.concat("_series", F.lit(" – "), "_name")).otherwise(F.col("_title")).alias("desc_name"),
+        F.when(of_series, F.col("_series_id")).otherwise(F.col("desc_id")).alias("genre_id"),
+        F.when(of_series, F.col("_series")).when(episode, F.col("_name")).otherwise(F.col("_title")).alias("genre_name"),
     )
 
 

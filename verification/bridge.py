@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelwright.session import tune
+from reelwright.session import cut_lineage, tune
 
 AS_OF = "2002-01-01"          # reference day of views built on orders and lineitem
 PLAYBACK_AS_OF = "2024-12-31"  # reference day of playback
@@ -599,7 +599,11 @@ class Bridge:
 
     @cached_property
     def item_added(self) -> DataFrame:
-        """Webhook bodies: JSON in two spellings, and text that is no JSON."""
+        """Webhook bodies: JSON in two spellings, and text that is no JSON.
+
+        Stored bodies are what the parser meets, so they are written once: else their making
+        would be repeated in every expression that reads them.
+        """
         event = F.expr(
             "CASE event_type WHEN 'view' THEN 'library.new' WHEN 'click' THEN 'Item.Added' "
             "WHEN 'purchase' THEN 'itemadded' WHEN 'signup' THEN 'system.itemadded' ELSE 'playback.start' END"
@@ -616,4 +620,5 @@ class Bridge:
         lower = F.to_json(F.struct(event.alias("event"), item.alias("Metadata")))
         raw = F.concat(F.lit("--form\r\n"), upper, F.lit("\r\n--"))
         body = F.when(F.col("event_id") % 7 == 0, raw).when(F.col("event_id") % 2 == 0, upper).otherwise(lower)
-        return self.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), body.alias("body"))
+        rows = self.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), body.alias("body"))
+        return cut_lineage(rows)
