@@ -48,8 +48,7 @@ def candidates(items: DataFrame, params: DedupeParams = DedupeParams()) -> DataF
     if params.excluded_ids:
         members = select.group_exclusion(members, params.excluded_ids)
     members = cut_lineage(members.drop("provider_ids"))
-    kept = select.episode_path_filter(members)
-    return select.dedupe_by_path(cut_lineage(kept)).select("group_id", "item_id")
+    return select.dedupe_by_path(select.episode_path_filter(members)).select("group_id", "item_id")
 
 
 def rated_members(items: DataFrame, params: DedupeParams = DedupeParams()) -> DataFrame:

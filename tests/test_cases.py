@@ -227,6 +227,17 @@ def test_hot_key_join_is_split(spark):
             spark.conf.set(k, v)
 
 
+def test_first_per_key_limits_before_the_shuffle(spark):
+    """A hot key reaches the shuffle with one row per input partition."""
+    from reelwright.operators.grouping import first_per_key
+
+    rows = spark.range(0, 1000, 1, 4).select((F.col("id") % 3).alias("g"), "id")
+    out = first_per_key(rows, ["g"], [F.col("id").desc()])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert {(r["g"], r["id"]) for r in out.collect()} == {(0, 999), (1, 997), (2, 998)}
+
+
 # ---------------------------------------------------------------------------- retention
 def test_retention_rules(spark):
     p = retention.RetentionParams(as_of="2026-01-01")

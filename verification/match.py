@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from reelwright.operators import match as M
@@ -9,7 +11,7 @@ from reelwright.plans.check import check, check_episode_sets, scored_catalogue
 from reelwright.sources import sinks
 from verification.bridge import AS_OF_EPOCH, Bridge
 from verification.dedupe import AI_SQL, TIER_MULT, TIER_NAME, _tier_case
-from verification.registry import fragment, query
+from verification.registry import FRAGMENTS, fragment, query
 
 PRIORITIES = ("slo", "cs", "en")
 EXCLUDED = ("tt0000060", "2112", "TT9000018", "11")
@@ -88,6 +90,16 @@ LEFT JOIN (SELECT o.* FROM o_order o JOIN o_override USING (proposal_id) WHERE i
 _REASON = "CASE status WHEN 'excluded' THEN 'excluded_id' WHEN 'not_found' THEN 'not_found' ELSE CASE recommendation WHEN 'download' THEN 'better_quality' ELSE 'same_or_worse' END END"
 
 
+# the same steps over the episodes of requested sets
+fragment("b_asked_set", """SELECT b.* REPLACE (b.proposal_id || '|' || s || '|' || e AS proposal_id, s AS season, e AS episode, NULL::int AS bitrate_kbps,
+CASE WHEN s = 1 AND e = 1 THEN 40000 ELSE size_mb END AS size_mb), b.proposal_id AS set_id FROM b_proposals b, (VALUES (1, 1), (1, 2), (1, 3), (2, 2)) v(s, e) WHERE c % 3 = 0""")
+_SET_STEPS = ("o_want", "o_asked", "o_by_provider", "o_found_series", "o_by_series", "o_ptitles", "o_title_pairs", "o_by_name", "o_named_series",
+              "o_cascade", "o_field", "o_rivals", "o_order", "o_override", "o_compared")
+for _step in _SET_STEPS:
+    _text = re.sub(r"\bb_proposals\b", "b_asked_set", FRAGMENTS[_step])
+    fragment(f"{_step}_set", re.sub(rf"\b({'|'.join(_SET_STEPS)})\b", r"\1_set", _text))
+
+
 def _scored(b: Bridge):
     return M.score_existing(b.items, PRIORITIES, AS_OF_EPOCH)
 
@@ -176,7 +188,11 @@ def _requests(b: Bridge):
         "episode_sizes", F.expr("map('1|1', cast(40000 as int))")).withColumn("bitrate_kbps", F.lit(None).cast("int"))
 
 
-@query("check_episode_set")
+@query("check_episode_set", """SELECT set_id, count(*) AS episodes_checked, count(existing_id) AS episodes_found, NOT bool_or(recommendation = 'download') AS all_same_or_better,
+bool_or(recommendation = 'download') OR count(existing_id) < count(*) AS should_download, concat_ws(',',
+'1:' || string_agg(CASE WHEN season = 1 AND recommendation = 'download' THEN episode::varchar END, '+' ORDER BY episode),
+'2:' || string_agg(CASE WHEN season = 2 AND recommendation = 'download' THEN episode::varchar END, '+' ORDER BY episode)) AS to_download
+FROM o_compared_set JOIN (SELECT proposal_id, set_id, season, episode FROM b_asked_set) USING (proposal_id) GROUP BY set_id""")
 def _(b: Bridge):
     rows = check_episode_sets(_requests(b), b.items, b.series, PRIORITIES, AS_OF_EPOCH, EXCLUDED)
     lists = F.transform(F.map_entries("episodes_to_download"), lambda e: F.concat(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -47,6 +48,23 @@ def _(b: Bridge):
     return rows.select(F.date_format("batch_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("batch_start"), "queue", "id", "name", "n_events")
 
 
+@contextmanager
+def _stateful(spark):
+    """State store and partition count for a stateful trial run; the session's own come back after."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER,
+        "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)),
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def _folder(b: Bridge, name: str) -> str:
     return f"{checkpoint_dir(b.spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -101,8 +119,9 @@ def _(b: Bridge):
     base = _folder(b, "summary")
     stream = _as_stream(b.spark, b.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), f"{base}/in")
     summary = queue.session_summary(stream, "event_type")
-    summary.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(
-        availableNow=True).start().awaitTermination()
+    with _stateful(b.spark):
+        summary.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(
+            availableNow=True).start().awaitTermination()
     return b.spark.read.schema("event_type string, batch_start timestamp, quiet_from timestamp, n_events bigint").parquet(f"{base}/out")
 
 
@@ -111,16 +130,10 @@ def _(b: Bridge):
     """The stateful twin of playback_sessions; sessions with a measured duration."""
     base = _folder(b, "sessions")
     spark = b.spark
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, STATE_PROVIDER)
-    try:
+    with _stateful(spark):
         stream = _as_stream(spark, scan_playback(b.activity), f"{base}/in", 2)
-        out = sessions_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option(
-            "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-        out.awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+        sessions_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option(
+            "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     schema = "user_id string, item_id string, event_id bigint, title string, duration_min double, content_type string, date string"
     return spark.read.schema(schema).parquet(f"{base}/out").where("duration_min IS NOT NULL")
 
