@@ -412,6 +412,7 @@ def test_event_bodies(spark):
 
 
 def test_urls(spark):
+    assert values(spark, text.strip_url_credentials(F.col("u")), ["http://h/p?X-Server-Token=s&a=1"], "u string") == ["http://h/p?a=1"]
     urls = ["http://h/p?a=1&API_KEY=s&b=2#f", "http://h/p?api_key=s", "http://h/p", None]
     assert values(spark, text.strip_url_credentials(F.col("u")), urls, "u string") == ["http://h/p?a=1&b=2#f", "http://h/p", "http://h/p", None]
     assert values(spark, text.extract_url_key(F.col("u")), urls, "u string") == ["s", "s", None, None]
