@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelwright.constants import PLACEHOLDER_IMDB, PROVIDERS
@@ -66,7 +66,7 @@ def identify_duplicates(index: DataFrame, excluded_ids: Sequence[str] = ()) -> D
     )
 
 
-def link_key() -> F.Column:
+def link_key() -> Column:
     """What two copies must share: the id, and for numbered episodes the episode too."""
     numbered = F.col("is_episode") & F.col("season").isNotNull() & F.col("episode").isNotNull()
     return F.when(

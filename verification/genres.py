@@ -49,7 +49,7 @@ _J = "array_to_string({0}, '|')"
 _STATUS = "CASE WHEN len(ext) = 0 THEN 'no_data' WHEN len(missing) = 0 THEN 'no_diff' ELSE '{0}' END"
 
 
-def _join(c) -> F.Column:
+def _join(c):
     return F.array_join(c, "|")
 
 
