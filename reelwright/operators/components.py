@@ -2,49 +2,59 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every step is a
 grouped minimum that combines before the shuffle plus a join back; the edge count never
-grows, and O(log^2 n) rounds suffice. Each round is written to the checkpoint folder.
+grows, and O(log^2 n) rounds suffice. Each step is written to the checkpoint folder and
+counts, while it is written, the edges it moved; the search ends with the first round that
+moves none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reelwright.operators.grouping import spread_join
 from reelwright.session import cut_lineage
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _step(rows: DataFrame, moved: Column) -> tuple[DataFrame, int]:
+    """The step written out, and the number of its rows for which ``moved`` holds."""
+    seen = Observation()
+    done = cut_lineage(rows.observe(seen, F.count(F.when(moved, 1)).alias("moved")).drop("was"))
+    return done, seen.get["moved"]
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, int]:
     """Every larger neighbour of a node moves to the smallest label around the node."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return spread_join(both.where("v > u"), lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = spread_join(both.where("v > u"), lowest, "u")
+    rows = joined.select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("was"))
+    return _step(rows, F.col("v") != F.col("was"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, int]:
     """A node and its smaller neighbours all move to the smallest of them."""
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = spread_join(edges, lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(lowest.select("u", F.col("m").alias("v")))
+    beside = spread_join(edges, lowest, "u").where("v <> m")
+    rows = beside.select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("was")).union(
+        lowest.select("u", F.col("m").alias("v"), F.lit(False).alias("was"))
+    )
+    # A repeated edge goes once into the next round; a moved one tells that it moved.
+    once = rows.groupBy("u", "v").agg(F.max("was").alias("was"))
+    return _step(once, F.col("was"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(item_id, component) for every node of ``edges`` (src, dst); the label is the least id."""
-    current = edges.where("src <> dst").select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
+    current = cut_lineage(
+        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+        .distinct()
     )
-    current = cut_lineage(current)
-    for _ in range(max_rounds):
-        step = cut_lineage(_small_star(_large_star(current)))
-        # Finished when every node that points somewhere points at one node, and that at none.
-        targets = step.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("last"))
-        sources = targets.select(F.col("u").alias("v"))
-        current = step
-        if targets.where("v <> last").isEmpty() and targets.join(sources, "v", "left_semi").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    current = current.distinct()
+    moved = -1
+    while moved:
+        current, far = _large_star(current)
+        current, near = _small_star(current)
+        moved = far + near
     roots = current.select(F.col("v").alias("item_id")).distinct()
     return current.select(F.col("u").alias("item_id"), F.col("v").alias("component")).unionByName(
         roots.select("item_id", F.col("item_id").alias("component"))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +21,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings above; cluster sizing is left to whoever built the session."""
@@ -27,7 +32,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = 8, app: str = "reelwright") -> SparkSession:
-    """A session for tests and the bench on one machine."""
+    """A session for tests and the bench on one machine; it sets a checkpoint folder only if none is set."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -38,25 +43,54 @@ def local_session(cores: int | str = 8, app: str = "reelwright") -> SparkSession
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not _configured(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="reelwright-checkpoint-"))
     return tune(spark)
 
 
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a private one only on a local master."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
+    """The shared checkpoint folder of the session; the caller must have set one."""
+    configured = _configured(spark)
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    private = tempfile.mkdtemp(prefix="reelwright-checkpoint-")
-    sc.setCheckpointDir(private)
-    return private
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder, so that lost executors cost no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside drop their shuffle files when they end; only for jobs whose result is a written table."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder, read back: smaller than a checkpoint."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    with shuffles_released(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
