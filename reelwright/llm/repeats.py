@@ -11,7 +11,7 @@ two for ``length`` bytes of text, instead of single ones:
 1. Runs are grouped by their gram. A run that is alone leaves. If all runs of a group hold the same
    bytes, all their suffixes repeat, and the group is settled.
 2. In the other groups each different run, once with its count, is cut into blocks of 16 suffixes.
-   The next digit of a block is the bytes that all its suffixes share.
+   The next digit of a block is the bytes that all its suffixes share. A group of equal blocks is settled.
 3. Blocks that still meet a different run are cut into single suffixes, whose last digit is all
    ``length`` bytes.
 
@@ -207,25 +207,32 @@ CUT = pa.schema([
 ])
 
 
+BLOCKS = ("id long, digest long, place int, n int, gram long, run long, copies long, block int, core long, whole long")
+
+
 def _blocks(members: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, run, copies, block, core): the blocks of each run with a hash of the bytes that its suffixes share."""
+    """The blocks of each run: place and number of suffixes, and hashes of the bytes that its suffixes share
+    (``core``) and of all their bytes (``whole``)."""
     farthest = length - gram
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(),
+             pa.int64(), pa.int64())
+    names = [f.split()[0] for f in BLOCKS.split(", ")]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             rows = []
-            for g, r, c, n, off, raw in zip(*[col.to_pylist() for col in batch.columns]):
+            for i, d, g, r, c, start, n, off, raw in zip(*[col.to_pylist() for col in batch.columns]):
                 for j in range((off - n + 1) // BLOCK, off // BLOCK + 1):
-                    top = min(BLOCK * j + BLOCK - 1, farthest)
-                    core = xxhash.xxh3_64_intdigest(raw[off - BLOCK * j:off - top + length])
-                    rows.append((g, r, c, j, core - (1 << 63)))
-            cols = list(zip(*rows)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)],
-                                             ["gram", "run", "copies", "block", "core"])
+                    core = digest(raw[off - BLOCK * j:off - min(BLOCK * j + BLOCK - 1, farthest) + length])
+                    near, far = max(BLOCK * j, off - n + 1), min(BLOCK * j + BLOCK - 1, off)
+                    whole = digest(raw[off - far:off - near + length], near * 4096 + far)
+                    rows.append((i, d, start + off - far, far - near + 1, g, r, c, j, core - (1 << 63), whole - (1 << 63)))
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names)
 
-    narrow = members.select("gram", "run", "copies", "n", "off", "bytes")
-    return narrow.mapInArrow(of_batches, "gram long, run long, copies long, block int, core long")
+    narrow = members.select(*KEY, "gram", "run", "copies", "start", "n", "off", "bytes")
+    return narrow.mapInArrow(of_batches, BLOCKS)
 
 
 def _suffixes(members: DataFrame, length: int) -> DataFrame:
@@ -266,30 +273,30 @@ def _spans(texts: DataFrame, length: int, gram: int) -> DataFrame:
     copied = classes.where("copies > 1").select("gram", "run")
     again = spread_join(mixed, copied, ["gram", "run"])
     cut = written(_with_bytes(texts, classes, length), "cut")
-    blocks = _blocks(cut, length, gram)
-    # A block is settled if it meets no different run, or only runs that repeat as a whole.
-    open_cores = blocks.groupBy("gram", "block", "core").agg(
-        F.count(F.lit(1)).alias("runs"), F.min("copies").alias("fewest")
-    ).where("runs > 1 and fewest = 1").select("gram", "block", "core")
-    open_blocks = spread_join(blocks, open_cores, ["gram", "block", "core"]).groupBy("gram", "run").agg(
-        F.collect_list("block").alias("blocks"))
+    blocks = written(_blocks(cut, length, gram), "blocks")
+    # A block is settled if it meets no different run, or only runs that repeat as a whole, or only equal blocks.
+    cores = blocks.groupBy("gram", "block", "core").agg(
+        F.count(F.lit(1)).alias("runs"), F.min("copies").alias("fewest"), F.min("whole").alias("least"),
+        F.max("whole").alias("most")
+    ).where("runs > 1 and fewest = 1").select("gram", "block", "core", (F.col("least") == F.col("most")).alias("same"))
+    shared = written(spread_join(blocks.drop("whole"), cores, ["gram", "block", "core"]), "shared")
+    level = shared.where("same and copies = 1").select(*KEY, F.col("place").alias("start"), "n")
+    open_blocks = shared.where("not same").groupBy("gram", "run").agg(F.collect_list("block").alias("blocks"))
     suffixes = written(_suffixes(cut.join(open_blocks, ["gram", "run"]), length), "suffixes")
     equal = suffixes.groupBy("gram", "back", "whole").agg(F.sum("copies").alias("places")).where("places > 1")
     single = spread_join(suffixes.where("copies = 1"), equal.drop("places"), ["gram", "back", "whole"])
     hit = whole.select(*KEY, "start", "n").unionByName(again.select(*KEY, "start", "n")).unionByName(
-        single.select(*KEY, F.col("place").alias("start"), F.lit(1).alias("n")))
+        level).unionByName(single.select(*KEY, F.col("place").alias("start"), F.lit(1).alias("n")))
     return hit.select(*KEY, F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + length).alias("hi"))
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of bytes covered by (lo, hi) ranges in order of lo."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in spans:
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal ranges covered by ranges (lo, hi) that are in order of lo."""
+    if not len(lo):
+        return lo, hi
+    reach = np.maximum.accumulate(hi)
+    first = np.concatenate(([True], lo[1:] > reach[:-1]))
+    return lo[first], reach[np.concatenate((np.flatnonzero(first)[1:] - 1, [len(lo) - 1]))]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400,
@@ -305,17 +312,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         for batch in batches:
-            sizes, merged, kept = [], [], []
-            for text, found in zip(batch.column(1), batch.column(2)):
+            sizes, counts, merged, kept = [], [], [], []
+            for text, lo, hi in zip(batch.column(1), batch.column(2), batch.column(3)):
                 raw = text.as_py()
-                gone = merge([(s["lo"], s["hi"]) for s in found.as_py() or ()])
-                cuts = [0, *[x for s in gone for x in s], len(raw)]
                 sizes.append(len(raw))
-                merged.append([{"lo": a, "hi": b} for a, b in gone])
-                kept.append(b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
+                if not lo.is_valid:
+                    counts.append(0)
+                    kept.append(raw)
+                    continue
+                gone = merge(lo.values.to_numpy(), hi.values.to_numpy())
+                counts.append(len(gone[0]))
+                merged.append(gone)
+                cuts = [0, *np.stack(gone, 1).ravel().tolist(), len(raw)]
+                kept.append(b"".join([raw[a:b] for a, b in zip(cuts[::2], cuts[1::2])]))
+            ends = [np.concatenate([m[k] for m in merged]) if merged else np.zeros(0, np.int32) for k in (0, 1)]
+            ranges = pa.StructArray.from_arrays([pa.array(e.astype(np.int32)) for e in ends], ["lo", "hi"])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, span), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "spans", "kept"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, ranges).cast(span),
+                 pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = asked.join(per_text, KEY, "left").select("doc_id", "bytes", "spans")
+    joined = asked.join(per_text, KEY, "left").select("doc_id", "bytes", "spans.lo", "spans.hi")
     return joined.mapInArrow(drop, "doc_id long, n_bytes long, spans array<struct<lo:int,hi:int>>, kept binary")
