@@ -19,23 +19,27 @@ inside them; a file's number follows its range. Ids take two bytes if the vocabu
 
 Tokens of a white-space word do not depend on its neighbours for the tokenizers meant here
 (checked on the tokenizer's own settings): no piece of theirs crosses white space. So a worker
-encodes each word once and keeps the words it has met in a table of bounded size; the table
-changes the time only. Other tokenizers encode whole texts.
+encodes each word once and keeps the words it has met in a table of bounded size (a text's own
+words may lie above the bound while it is encoded); the table changes the time only. Other tokenizers encode whole texts.
 
 Defined results: null and empty texts have no ids but the end id. Null doc_ids come first. Equal
-doc_ids are ordered by text; equal rows are interchangeable. Other columns are not read.
+doc_ids are ordered by a hash of the text; equal rows are interchangeable. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +49,11 @@ from reelwright.session import shared_folder, shuffles_released
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<Ic")
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
+CHARS_AT_ONCE = 1 << 20
 FILE_BYTES = 24 << 20  # of text
+#: A full stop or comma beside another sign makes a piece with it.
+SIGNS_MEET = re.compile(r"[.,](?:(?=[^\s\w]|_)|(?<=[^\s\w].)|(?<=_.))")
 #: Python's white space that the tokenizers do not take for white space.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -76,36 +83,94 @@ def unframe(data: bytes | memoryview, at: int) -> tuple[memoryview, int]:
 
 
 class Encoder:
-    """Ids of texts as bytes, by the tokenizers library."""
+    """Ids of texts as bytes, by the tokenizers library.
+
+    Where the tokenizer's settings allow it, texts are cut into words, at white space and around single
+    full stops and commas, and the words are looked up. New words that are runs of lower-case letters in
+    composed form, which normalising and cutting leave as they are, go to the tokenizer's model many at
+    a time; other new words go to the whole tokenizer.
+    """
 
     def __init__(self, path: str, id_bytes: int):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = Split(" ", "removed")
         self.dtype = f"<u{id_bytes}"
         self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.by_words = splits_at_white_space(json.load(f))
+            settings = json.load(f)
+        self.by_words = splits_at_white_space(settings)
+        self.by_letters = self.by_words and cuts_letters_whole(settings)
+        self.of_byte = byte_letters()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
-    def encode(self, text: str) -> bytes:
+    def _words(self, text: str) -> list[str] | None:
+        """Words that encode alone; none if the text has to be encoded whole."""
         if not self.by_words or any(c in text for c in NOT_SPACE):
-            return self._ids([text])[0] if text else b""
-        words = text.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > WORDS_KEPT:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._ids(new)))
-        out = b"".join([known[w] for w in words])
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        return out
+            return None
+        if self.by_letters and "\u03a3" not in text:  # final sigma: lower-cased by its neighbours
+            text = text.lower()
+            if not SIGNS_MEET.search(text):
+                text = text.replace(".", " . ").replace(",", " , ")
+        return text.split()
+
+    def _piece(self, word: str) -> str | None:
+        """The word as the model takes it, if it is a run of lower-case letters."""
+        if not self.by_letters or not word.isalpha():
+            return None
+        if word.isascii():
+            return word if word.islower() else None
+        if word == word.lower() and unicodedata.is_normalized("NFC", word):
+            return word.encode().decode("latin-1").translate(self.of_byte)
+        return None
+
+    def _learn(self, words: list[str]) -> None:
+        pieces = [self._piece(w) for w in words]
+        plain = [w for w, p in zip(words, pieces) if p is not None]
+        others = [w for w, p in zip(words, pieces) if p is None]
+        self.known.update(zip(others, self._whole(others)))
+        if plain:
+            found = self.bare.encode(" ".join([p for p in pieces if p is not None]), add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype).tobytes()
+            width = len(ids) // len(found.ids)
+            cuts = (np.searchsorted(np.array(found.word_ids), np.arange(len(plain) + 1)) * width).tolist()
+            self.known.update(zip(plain, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > WORDS_KEPT:
+            self.known.clear()
+        words = [self._words(t) for t in texts]
+        met: set[str] = set()
+        for own in words:
+            met.update(own or ())
+        self._learn(list(met.difference(self.known)))
+        get = self.known.get
+        return [self._whole([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, words)]
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write for bytes: visible Latin-1 characters for themselves,
+    the others, in order, for the characters from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+def cuts_letters_whole(settings: dict) -> bool:
+    """True if a run of letters, and a sign behind it, are pieces of their own, written byte by byte."""
+    pre = settings.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers") or []
+    if len(steps) != 2 or steps[1].get("type") != "ByteLevel" or steps[1].get("use_regex"):
+        return False
+    pattern = (steps[0].get("pattern") or {}).get("Regex", "")
+    return r"|[\p{L}]+|" in pattern and pattern.endswith(r"[^\s\p{L}\p{N}]+") and not steps[1].get("add_prefix_space")
 
 
 def splits_at_white_space(settings: dict) -> bool:
@@ -129,6 +194,17 @@ def encoder(path: str, id_bytes: int) -> Encoder:
     return Encoder(path, id_bytes)
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``CHARS_AT_ONCE`` bytes of the second column, one row at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        until = max(at + 1, int(np.searchsorted(sizes, before + CHARS_AT_ONCE, "right")))
+        yield batch.slice(at, until - at)
+        at = until
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id",
                   text_col: str = "text", id_bytes: int = 2) -> None:
     """Encode every text, end it with ``end_id``, and write data files under ``folder``/data."""
@@ -139,25 +215,23 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_
         encode = shared(tokenizer, id_bytes).encode
         end = int(end_id).to_bytes(id_bytes, "little")
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                ids = part.column(0)
-                rows = []
-                for doc, text in zip(ids, part.column(1)):
-                    doc = doc.as_py()
-                    # The payload opens with the doc_id, so that files can be read without their index.
-                    head = struct.pack("<?q", doc is not None, doc or 0)
-                    rows.append(frame(head + encode(text.as_py() or "") + end)[:-1])
+            for part in parts(batch):
+                found = encode([t or "" for t in part.column(1).to_pylist()])
+                # The payload opens with the doc_id, so that files can be read without their index.
+                heads = [struct.pack("<?q", d is not None, d or 0) for d in part.column(0).to_pylist()]
+                rows = [frame(head + ids + end)[:-1] for head, ids in zip(heads, found)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["value"])
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # Ranges are found from a sample of the keys on the driver, so the text itself is none of them.
+    ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"),
+                          F.col(text_col).alias("text"))
     # Files stay small enough to be read as one value each, at any size of the input.
     total = ordered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = docs.sparkSession
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     # A last key without ties lets equal rows lie in several files.
-    dealt = ordered.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(files, "id", "text", "row")
-    rows = dealt.sortWithinPartitions("id", "text", "row").select("id", "text").mapInArrow(of_batches, "value binary")
+    dealt = ordered.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(files, "id", "hash", "row")
+    rows = dealt.sortWithinPartitions("id", "hash", "row").select("id", "text").mapInArrow(of_batches, "value binary")
     with shuffles_released(spark):
         # Spark's text writer ends each value with the line feed of the format.
         rows.select(F.col("value").cast("string").alias("value")).write.text(f"{folder}/data")
