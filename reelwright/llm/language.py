@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelwright.operators.grouping import top_per_key
+from reelwright.llm.sampling import least_hashed
 
 DIMS = 4096
 SIZES = (2, 3, 4)
@@ -134,8 +134,9 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lan
     usable = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = usable.select("lang", "text", F.xxhash64("text").alias("h"))
-    chosen = top_per_key(hashed.select("lang", "h").distinct(), ["lang"], [F.col("h")], per_language)
-    sample = hashed.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"])
+    chosen = least_hashed(hashed, "lang", "h", per_language)
+    # Copies of a text count once.
+    sample = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
