@@ -37,9 +37,8 @@ def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    seen = docs.where(~held_out(1, 3)).select("doc_id", "text").join(labels, "doc_id")
-    return toxicity.toxicity(docs, toxicity.fit(seen), keep=[F.col("doc_id"), held_out(1, 3).alias("held_out")])
+    lexicon = toxicity.fit(docs.where(~held_out(1, 3)), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, lexicon, keep=[F.col("doc_id"), held_out(1, 3).alias("held_out")])
 
 
 def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:

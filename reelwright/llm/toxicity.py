@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelwright.operators.grouping import top_per_key
+from reelwright.llm.sampling import least_hashed
+from reelwright.session import written
 
 FIT_ROWS = 3000
 ENTRIES = 2000
@@ -205,13 +206,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(rows: DataFrame, label_col: str = "toxic", text_col: str = "text", fit_rows: int = FIT_ROWS,
-        exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
-    """Learn from ``rows`` (text and 0/1 label); at most ``fit_rows`` of each label reach a worker's fit."""
-    labelled = rows.select(F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text")).where(
-        "y in (0, 1) and text is not null").withColumn("h", F.xxhash64("text"))
-    chosen = top_per_key(labelled.select("y", "h").distinct(), ["y"], [F.col("h")], fit_rows).select("y", "h")
-    sample = labelled.join(F.broadcast(chosen), ["y", "h"]).select("y", "h", "text")
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+        fit_rows: int = FIT_ROWS, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
+    """Learn from the ``docs`` that have a 0/1 label; at most ``fit_rows`` different texts of each label are used.
+
+    Only ids and hashes of texts are joined with the labels; the chosen texts are then read from ``docs``.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    texts = texts.where("text is not null")
+    kinds = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    labelled = texts.select("id", "h").join(kinds.where("y in (0, 1)"), "id").select("y", "h")
+    chosen = F.broadcast(least_hashed(labelled, "y", "h", fit_rows))
+    met = texts.select("h", "text").join(chosen, "h").groupBy("y", "h").agg(F.first("text").alias("text"))
+    sample = written(met.select("y", "h", "text"), "toxicity-sample")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
