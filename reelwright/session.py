@@ -21,6 +21,10 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+PYTHON_BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -68,6 +72,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Send rows with whole texts or files to Python workers in small batches, which bounds their memory."""
+    for key, value in PYTHON_BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
