@@ -172,14 +172,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[C
     """The ``keep`` columns (all by default) with lang_pred, score and rejected."""
     kept = docs.select(*(keep if keep is not None else ["*"]))
     names = [f"k{i}" for i in range(len(kept.columns))]
-    narrow = docs.select(*(keep if keep is not None else ["*"]), F.col(text_col).alias("_text")).toDF(*names, "_text")
+    if keep is None:  # the text is among them, and goes to the workers once
+        narrow, at_text, sent = kept.toDF(*names), docs.columns.index(text_col), len(names)
+    else:
+        narrow = docs.select(*keep, F.col(text_col).alias("_text")).toDF(*names, "_text")
+        at_text = sent = len(names)
     types = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kept.schema.fields))
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(at_text).to_pylist()
                 lettered = np.array([has_letter(t) and bool(model.langs) for t in texts], bool)
                 langs, scores, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 rows = np.flatnonzero(lettered)
@@ -189,7 +193,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[C
                     for i, b in zip(rows.tolist(), best.tolist()):
                         langs[i] = model.langs[b]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.array(langs), pa.array(scores), pa.array(far)],
+                    [*part.columns[:sent], pa.array(langs), pa.array(scores), pa.array(far)],
                     [*names, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(x for x in (types, "lang_pred string, score double, rejected boolean") if x)

@@ -49,7 +49,7 @@ from reelwright.session import shared_folder, shuffles_released
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<Ic")
-WORDS_KEPT = 600_000
+WORDS_KEPT = 500_000
 CHARS_AT_ONCE = 1 << 20
 FILE_BYTES = 24 << 20  # of text
 #: A full stop or comma beside another sign makes a piece with it.
@@ -245,6 +245,9 @@ def _scan(id_bytes: int):
     names = [f.split()[0] for f in FIELDS.split(", ")]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from reelwright.llm.records import encoder as shared
+
+        shared.cache_clear()  # a worker that wrote before holds its words no longer
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
                 data = content.as_buffer() if content.is_valid else b""

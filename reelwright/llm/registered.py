@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelwright.llm import (
     decontaminate, fixity, language, mixing, records, repeats, simhash, topk, toxicity, urls,
 )
+from reelwright.session import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -23,7 +24,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def held_out(fold: int, of: int) -> Column:
