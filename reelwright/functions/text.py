@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from reelwright.constants import (
     CREDENTIAL_PARAMS,
-    CREDENTIAL_PATTERN,
     ENGLISH_WORDS,
     SLAVIC_LETTERS,
     SLAVIC_WORDS,
@@ -49,7 +48,7 @@ def parse_id_list(text: Column) -> Column:
 
 def _is_credential(pair: Column, params: Sequence[str]) -> Column:
     name = F.lower(F.substring_index(pair, "=", 1))
-    return name.isin(*[p.lower() for p in params]) | name.rlike(CREDENTIAL_PATTERN)
+    return name.isin(*[p.lower() for p in params])
 
 
 def strip_url_credentials(url: Column, params: Sequence[str] = CREDENTIAL_PARAMS) -> Column:

@@ -29,10 +29,10 @@ def delete_paths(decisions: DataFrame) -> DataFrame:
 
 
 def surviving_paths(known: DataFrame, deletes: DataFrame) -> DataFrame:
-    """(npath, dir) of the known paths that stay after the run."""
+    """(npath, dir) of the known paths that stay after the run; a path known in several spellings is one."""
     gone = deletes.select(P.path_norm(F.col("path")).alias("npath")).distinct()
     return (
-        known.select("path", P.path_norm(F.col("path")).alias("npath"))
+        known.select(P.path_norm(F.col("path")).alias("npath")).distinct()
         .join(gone, "npath", "left_anti")
         .withColumn("dir", P.parent_dir(F.col("npath")))
     )

@@ -140,6 +140,14 @@ def record_failure(state: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def mark_status(state: DataFrame, marks: DataFrame) -> DataFrame:
-    """State after setting statuses by path; unknown statuses are refused per row."""
-    wanted = marks.where(F.col("status").isin(*K.SETTABLE_STATUSES)).select("path", F.col("status").alias("_set"))
+    """State after setting statuses by path; of several marks of a path the last in order of text holds.
+
+    Marks with an unknown status change nothing; ``refused_marks`` has them.
+    """
+    wanted = marks.where(F.col("status").isin(*K.SETTABLE_STATUSES)).groupBy("path").agg(F.max("status").alias("_set"))
     return state.join(wanted, "path", "left").withColumn("status", F.coalesce("_set", "status")).drop("_set")
+
+
+def refused_marks(marks: DataFrame) -> DataFrame:
+    """The marks whose status cannot be set."""
+    return marks.where(~F.coalesce(F.col("status").isin(*K.SETTABLE_STATUSES), F.lit(False)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from reelwright.functions import dates, display, quality, text
 from reelwright.functions import paths as P
 from reelwright.functions.streams import language_rank, normalize_priorities
-from reelwright.operators import components, guard, index, localize, match, playback, retention, select
+from reelwright.operators import components, guard, index, inventory, localize, match, playback, retention, select
 from reelwright.operators import gaps as G
 from reelwright.operators import genres as GN
 from reelwright.operators.debounce import quiet_batches
@@ -412,7 +412,25 @@ def test_event_bodies(spark):
 
 
 def test_urls(spark):
-    assert values(spark, text.strip_url_credentials(F.col("u")), ["http://h/p?X-Server-Token=s&a=1"], "u string") == ["http://h/p?a=1"]
+    own = text.strip_url_credentials(F.col("u"), ["x-server-token"])
+    assert values(spark, own, ["http://h/p?X-Server-Token=s&a=1&x-auth-token=z"], "u string") == ["http://h/p?a=1&x-auth-token=z"]
     urls = ["http://h/p?a=1&API_KEY=s&b=2#f", "http://h/p?api_key=s", "http://h/p", None]
     assert values(spark, text.strip_url_credentials(F.col("u")), urls, "u string") == ["http://h/p?a=1&b=2#f", "http://h/p", "http://h/p", None]
     assert values(spark, text.extract_url_key(F.col("u")), urls, "u string") == ["s", "s", None, None]
+
+
+def test_guard_counts_a_path_in_two_spellings_once(spark):
+    known = spark.createDataFrame([("/m/shared/K.mkv",), ("\\m\\shared\\K.mkv",), ("/m/shared/D.mkv",)], "path string")
+    deletes = spark.createDataFrame([("/m/shared/D.mkv",)], "path string")
+    pairs = spark.createDataFrame([("/m/shared/K.mkv", "/m/shared/D.mkv")], "keeper_path string, delete_path string")
+    assert [r.safe for r in guard.delete_safe(pairs, known, deletes).collect()] == [False]
+    targets = pairs.select("delete_path")
+    assert [r.safe for r in guard.cleanup_delete_safe(targets, known, deletes).collect()] == [False]
+
+
+def test_repeated_marks_keep_one_row_per_path(spark):
+    state = spark.createDataFrame([("a", "ok"), ("b", "ok")], "path string, status string")
+    marks = spark.createDataFrame([("a", "ignored"), ("a", "ignored"), ("b", "bogus")], "path string, status string")
+    assert sorted(map(tuple, inventory.mark_status(state, marks).select("path", "status").collect())) == [
+        ("a", "ignored"), ("b", "ok")]
+    assert inventory.refused_marks(marks).count() == 1

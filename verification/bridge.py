@@ -285,7 +285,6 @@ POPULAR_LEVELS: list[Level] = [
 ]
 
 # ------------------------------------------------------------- missing episodes, from lineitem
-MISSING_WHERE = "l_returnflag = 'N'"
 MISSING_LEVELS: list[Level] = [
     {
         "id": "cast(l_orderkey as string) || '-' || cast(l_partkey as string) || '-' || "
@@ -344,7 +343,7 @@ def _duck_views() -> dict[str, str]:
             "WHERE event_type IN ('view', 'click', 'purchase'))"
         ),
         "b_users": "SELECT cast(s_suppkey as string) AS user_id, s_name AS user_name FROM supplier",
-        "b_missing": _duck_levels("lineitem", MISSING_LEVELS, MISSING_WHERE),
+        "b_missing": _duck_levels("lineitem", MISSING_LEVELS),
         "b_genres": _duck_levels("part", GENRE_LEVELS),
         "b_snapshot_src": _duck_levels("part", SNAPSHOT_LEVELS),
         "b_text": _duck_levels("documents", TEXT_LEVELS),
@@ -486,7 +485,7 @@ class Bridge:
 
     @cached_property
     def missing(self) -> DataFrame:
-        return _spark_levels(self.table("lineitem"), MISSING_LEVELS, MISSING_WHERE).select(
+        return _spark_levels(self.table("lineitem"), MISSING_LEVELS).select(
             "id", "series_id", "series_name", "season", "episode", "name", "air_date", "library",
         )
 

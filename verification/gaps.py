@@ -15,7 +15,7 @@ fragment("o_series_total", "SELECT series_name, count(*) AS n, count(DISTINCT se
 
 # missing episodes of the catalogue's own series, one per (series, season, episode) that no item has
 fragment("o_lack", """SELECT 's' || cast(c as varchar) AS series_id, cast(l_linenumber - 1 as int) AS season, cast(l_quantity as int) AS episode
-FROM lineitem JOIN (SELECT o_orderkey, o_custkey AS c FROM orders) ON o_orderkey = l_orderkey WHERE c % 3 = 0 AND l_returnflag = 'N'""")
+FROM lineitem JOIN (SELECT o_orderkey, o_custkey AS c FROM orders) ON o_orderkey = l_orderkey""")
 fragment("o_complete", """SELECT s.*, coalesce(have, 0) AS have, missing, coalesce(have, 0) + missing AS total,
 round_even(cast(coalesce(have, 0) / (coalesce(have, 0) + missing) * 100 AS decimal(38, 12)), 1)::double AS pct, coalesce(last_added, '') AS last_added, gaps,
 CASE WHEN production_year IS NULL OR contains(s.name, production_year::varchar) THEN s.name ELSE s.name || ' (' || production_year || ')' END AS label
@@ -32,8 +32,8 @@ QUALIFY row_number() OVER (PARTITION BY tmdb_id ORDER BY source_order, page, pos
 
 
 def _lack(b: Bridge):
-    owners = b.table("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey AS c").where("c % 3 = 0")
-    return b.table("lineitem").where("l_returnflag = 'N'").join(owners, "l_orderkey").selectExpr(
+    owners = b.table("orders").selectExpr("o_orderkey AS l_orderkey", "o_custkey AS c")
+    return b.table("lineitem").join(owners, "l_orderkey").selectExpr(
         "'s' || cast(c as string) AS series_id", "cast(l_linenumber - 1 as int) AS season", "cast(l_quantity as int) AS episode")
 
 
@@ -46,8 +46,8 @@ def _(b: Bridge):
     return G.missing_dedupe(b.missing).select("series_name", "season", "episode", "id", "air_date")
 
 
-@query("missing_enrich", """SELECT l.series_id, s.name AS series_name, CASE WHEN original_title IS NOT NULL THEN original_title WHEN sort_name IS NOT NULL
-THEN sort_name ELSE s.name END AS original_series_name, count(*) AS n FROM o_lack l JOIN b_series s ON s.item_id = l.series_id GROUP BY ALL
+@query("missing_enrich", """SELECT l.series_id, coalesce(s.name, 'Unknown Series') AS series_name, CASE WHEN original_title IS NOT NULL THEN original_title WHEN sort_name IS NOT NULL
+THEN sort_name ELSE coalesce(s.name, 'Unknown Series') END AS original_series_name, count(*) AS n FROM o_lack l LEFT JOIN b_series s ON s.item_id = l.series_id GROUP BY ALL
 UNION ALL SELECT series_id, coalesce(series_name, 'Unknown Series'), coalesce(series_name, 'Unknown Series'), count(*) FROM b_missing GROUP BY ALL""")
 def _(b: Bridge):
     both = _lack(b).withColumn("series_name", F.lit(None).cast("string")).unionByName(
@@ -79,9 +79,9 @@ def _(b: Bridge):
         "average_missing_per_series", F.round("average_missing_per_series", 6))
 
 
-@query("missing_union", """SELECT library, count(*) AS n, count(DISTINCT series_id) AS n_series FROM b_missing WHERE library IN ('Lib 0', 'Lib 2') GROUP BY 1""")
+@query("missing_union", """SELECT library, count(*) AS n, count(DISTINCT series_id) AS n_series FROM b_missing GROUP BY 1""")
 def _(b: Bridge):
-    parts = [b.missing.where(F.col("library") == name) for name in ("Lib 0", "Lib 2")]
+    parts = [b.missing.where(F.col("library") == name) for name in ("Lib 0", "Lib 1", "Lib 2")]
     return G.missing_union(*parts).groupBy("library").agg(F.count("*").alias("n"), F.countDistinct("series_id").alias("n_series"))
 
 
@@ -121,11 +121,10 @@ def _(b: Bridge):
 
 
 @query("library_collections", """SELECT collection_id, collection_name, count(*) AS n_parts FROM b_collections WHERE collection_id IN
-(SELECT collection_id FROM b_collections WHERE owned AND part_id::int % 14 = 0) GROUP BY ALL""")
+(SELECT collection_id FROM b_collections WHERE owned) GROUP BY ALL""")
 def _(b: Bridge):
-    some = b.owned_movies.where("cast(tmdb_id as int) % 14 = 0")
     parts = b.collection_parts
-    return G.library_collections(some, parts, parts).groupBy("collection_id", "collection_name").agg(F.count("*").alias("n_parts"))
+    return G.library_collections(b.owned_movies, parts, parts).groupBy("collection_id", "collection_name").agg(F.count("*").alias("n_parts"))
 
 
 @query("library_id_sets", """SELECT type, count(DISTINCT tmdb) AS n_tmdb, count(DISTINCT imdb) AS n_imdb FROM (SELECT type, tmdb, imdb FROM b_items

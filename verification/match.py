@@ -92,7 +92,7 @@ _REASON = "CASE status WHEN 'excluded' THEN 'excluded_id' WHEN 'not_found' THEN
 
 # the same steps over the episodes of requested sets
 fragment("b_asked_set", """SELECT b.* REPLACE (b.proposal_id || '|' || s || '|' || e AS proposal_id, s AS season, e AS episode, NULL::int AS bitrate_kbps,
-CASE WHEN s = 1 AND e = 1 THEN 40000 ELSE size_mb END AS size_mb), b.proposal_id AS set_id FROM b_proposals b, (VALUES (1, 1), (1, 2), (1, 3), (2, 2)) v(s, e) WHERE c % 3 = 0""")
+CASE WHEN s = 1 AND e = 1 THEN 40000 ELSE size_mb END AS size_mb), b.proposal_id AS set_id FROM b_proposals b, (VALUES (1, 1), (1, 2), (1, 3), (2, 2)) v(s, e)""")
 _SET_STEPS = ("o_want", "o_asked", "o_by_provider", "o_found_series", "o_by_series", "o_ptitles", "o_title_pairs", "o_by_name", "o_named_series",
               "o_cascade", "o_field", "o_rivals", "o_order", "o_override", "o_compared")
 for _step in _SET_STEPS:
@@ -183,8 +183,8 @@ def _(b: Bridge):
 
 
 def _requests(b: Bridge):
-    """Packs of two seasons for every third title, one episode of which has its own size."""
-    return b.proposals.where("c % 3 = 0").withColumn("episodes", F.expr("map(1, array(1, 2, 3), 2, array(2))")).withColumn(
+    """Packs of two seasons for every title, one episode of which has its own size."""
+    return b.proposals.withColumn("episodes", F.expr("map(1, array(1, 2, 3), 2, array(2))")).withColumn(
         "episode_sizes", F.expr("map('1|1', cast(40000 as int))")).withColumn("bitrate_kbps", F.lit(None).cast("int"))
 
 
