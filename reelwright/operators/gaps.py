@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from reelwright.functions.display import display_name_year
 from reelwright.functions.util import first_non_blank, lower_keys, non_blank, provider_id
-from reelwright.operators.grouping import first_per_key, joined_top, spread_join
+from reelwright.operators.grouping import counts_with_range, first_per_key, joined_top, spread_join
 
 UNKNOWN_SERIES = "Unknown Series"
-EPISODES_PER_BLOCK = 1000
 
 
 # --------------------------------------------------------------------- missing episodes
@@ -101,25 +100,16 @@ def missing_stats(deduped: DataFrame) -> DataFrame:
 
 
 def structured_report(deduped: DataFrame) -> DataFrame:
-    """Nested report rows: series, season and its episodes in order, nothing searched yet.
-
-    A row covers a block of a thousand episode numbers. Episodes are distinct within a season,
-    so no row can hold more than that, whatever the size of a series.
-    """
+    """Report rows, one per missing episode, with the totals of its season and series; nothing searched yet."""
     totals = missing_by_series(deduped).select("series_name", F.col("total_missing").alias("series_missing"))
-    entry = F.struct(
-        F.col("episode").alias("episode_number"),
-        F.coalesce("name", F.lit("Unknown Episode")).alias("name"),
-        F.coalesce("air_date", F.lit("")).alias("air_date"),
+    seasons = deduped.groupBy("series_name", "season").agg(
+        F.min("series_id").alias("series_id"), F.count("*").alias("episode_count"))
+    rows = deduped.select(
+        "series_name", "season", F.col("episode").alias("episode_number"),
+        F.coalesce("name", F.lit("Unknown Episode")).alias("name"), F.coalesce("air_date", F.lit("")).alias("air_date"),
         F.lit(False).alias("searched"),
     )
-    blocks = deduped.withColumn("block", F.floor(F.col("episode") / EPISODES_PER_BLOCK)).groupBy(
-        "series_name", "season", "block"
-    ).agg(
-        F.min("series_id").alias("series_id"), F.count("*").alias("episode_count"),
-        F.array_sort(F.collect_list(entry)).alias("episodes"),
-    )
-    return blocks.join(totals, "series_name").withColumn("searched", F.lit(False))
+    return spread_join(spread_join(rows, seasons, ["series_name", "season"]), totals, "series_name")
 
 
 def missing_text_rows(deduped: DataFrame) -> DataFrame:
@@ -193,11 +183,11 @@ def completeness_filter(rows: DataFrame, low: int, high: int, as_of: dt.date | s
 
 def completeness_histogram(rows: DataFrame, bins: int = 20) -> DataFrame:
     """Counts per bin of the share complete, over its own range."""
-    low, high = rows.select(F.min("pct")).scalar(), rows.select(F.max("pct")).scalar()
+    counts, low, high = counts_with_range(rows, "pct")
     place = F.when(high == low, F.lit(1)).otherwise(
         F.least(F.floor((F.col("pct") - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(bins)) + 1, F.lit(bins))
     )
-    return rows.select(place.cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("n_series"))
+    return counts.select(place.cast("int").alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n_series"))
 
 
 # ------------------------------------------------------------------------ collections

@@ -47,6 +47,17 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return top_per_key(df, keys, order, 1, "_rank").drop("_rank")
 
 
+def counts_with_range(rows: DataFrame, value: str) -> tuple[DataFrame, Column, Column]:
+    """Rows per different value as ``n``, and the least and greatest value.
+
+    The range is read from the counts, and reads their ``n`` too, so that both share one exchange and the
+    input is built once.
+    """
+    counts = rows.groupBy(value).agg(F.count("*").alias("n"))
+    ends = counts.select(F.struct(F.min(value).alias("low"), F.max(value).alias("high"), F.sum("n").alias("n"))).scalar()
+    return counts, ends["low"], ends["high"]
+
+
 def joined_top(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                value: str, separator: str, name: str) -> DataFrame:
     """Per key, the first ``k`` values joined into one text."""

@@ -11,7 +11,7 @@ from reelwright import constants as K
 from reelwright.functions.dates import days_since
 from reelwright.functions.streams import first_stream
 from reelwright.functions.util import contains_any, first_non_blank, non_blank
-from reelwright.operators.grouping import joined_top
+from reelwright.operators.grouping import counts_with_range, joined_top
 
 NO_GENRE = "(No genre)"
 
@@ -158,11 +158,10 @@ def forgotten_stats(rows: DataFrame) -> DataFrame:
 
 def days_histogram(rows: DataFrame, bins: int = 30) -> DataFrame:
     """Counts of unplayed titles per bin of days, over their own range."""
-    unplayed = rows.where(~F.col("played"))
-    low, high = unplayed.select(F.min("days")).scalar(), unplayed.select(F.max("days")).scalar()
+    counts, low, high = counts_with_range(rows.where(~F.col("played")), "days")
     place = F.floor((F.col("days") - low) * F.lit(bins) / F.nullif(high - low, F.lit(0))) + 1
     place = F.least(F.coalesce(place, F.lit(1)), F.lit(bins)).cast("int")
-    return unplayed.select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    return counts.select(place.alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def abandoned(series: DataFrame) -> DataFrame:

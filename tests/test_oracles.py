@@ -37,3 +37,8 @@ def test_no_cross_joins_and_few_python_plans(spark):
         plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
         assert name in python or "PythonUDF" not in plan, name
+
+
+def test_language_detection_on_held_out_rows(spark):
+    rows = QUERIES["detect_language"](spark, SF_DIR).where("held_out and detected is not null").collect()
+    assert sum(r.lang == r.detected for r in rows) >= 0.95 * len(rows) > 0

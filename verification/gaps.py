@@ -85,12 +85,11 @@ def _(b: Bridge):
     return G.missing_union(*parts).groupBy("library").agg(F.count("*").alias("n"), F.countDistinct("series_id").alias("n_series"))
 
 
-@query("structured_report", """SELECT series_name, season, total AS series_missing, count(*) AS episode_count,
-string_agg(episode || ':' || name || ':' || air_date, '|' ORDER BY episode) AS episodes FROM (SELECT *, count(*) OVER (PARTITION BY series_name) AS total FROM o_dedup) GROUP BY ALL""")
+@query("structured_report", """SELECT series_name, season, episode AS episode_number, name, air_date,
+count(*) OVER (PARTITION BY series_name) AS series_missing, count(*) OVER (PARTITION BY series_name, season) AS episode_count FROM o_dedup""")
 def _(b: Bridge):
-    rows = G.structured_report(G.missing_dedupe(b.missing))
-    flat = F.transform("episodes", lambda e: F.concat_ws(":", e["episode_number"].cast("string"), e["name"], e["air_date"]))
-    return rows.select("series_name", "season", "series_missing", "episode_count", F.array_join(flat, "|").alias("episodes"))
+    return G.structured_report(G.missing_dedupe(b.missing)).select(
+        "series_name", "season", "episode_number", "name", "air_date", "series_missing", "episode_count")
 
 
 @query("missing_text_rows", """SELECT count(*) OVER (PARTITION BY series_name) AS series_missing, series_name, season, episode,
