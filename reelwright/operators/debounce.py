@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright.constants import QUIET_SECONDS
-from reelwright.operators.grouping import spread_join
+from reelwright.operators.grouping import attach_group_values, spread_join
+
+
+RANGE_SLOTS = 4096
 
 
 def quiet_batches(events: DataFrame, quiet_seconds: int = QUIET_SECONDS) -> DataFrame:
     """Events with ``batch_start`` and ``batch_end`` of their batch; a batch ends in quiet time.
 
     Two events in one slot of the quiet time's length always share a batch, so only the first
-    and last moment of each slot need ordering: the rows themselves never meet in one task.
+    and last moment of each slot need ordering. Slots are ordered within ranges of
+    ``RANGE_SLOTS`` slots; what a range takes over from the ones before it, its last moment and
+    the batch that is open, is carried across the ranges, of which there is one row each.
     """
-    slot = F.floor(F.unix_micros("ts") / (quiet_seconds * 1_000_000))
-    rows = events.withColumn("slot", slot)
-    slots = rows.groupBy("slot").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    order = Window.orderBy("slot")
-    gap = F.unix_micros("first_ts") - F.unix_micros(F.lag("last_ts").over(order))
-    opens = F.when(gap.isNull() | (gap >= quiet_seconds * 1_000_000), F.col("first_ts"))
-    numbered = slots.withColumn("_opens", opens).withColumn(
-        "batch_start", F.last("_opens", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = Window.partitionBy("batch_start")
-    numbered = numbered.select("slot", "batch_start", F.max("last_ts").over(ends).alias("batch_end"))
-    return spread_join(rows, numbered, "slot").drop("slot")
+    quiet = quiet_seconds * 1_000_000
+    rows = events.withColumn("slot", F.floor(F.unix_micros("ts") / quiet))
+    slots = rows.groupBy("slot").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).withColumn(
+        "range", F.floor(F.col("slot") / RANGE_SLOTS))
+    inside, across = Window.partitionBy("range").orderBy("slot"), Window.orderBy("range")
+    until_row = inside.rowsBetween(Window.unboundedPreceding, 0)
+    earlier_ranges = across.rowsBetween(Window.unboundedPreceding, -1)
+
+    def apart(first: str, last: Column) -> Column:
+        return F.unix_micros(first) - F.unix_micros(last) >= quiet
+
+    # Null in the first slot of a range, which only the ranges before it can place.
+    opened = slots.withColumn("opens", F.when(apart("first_ts", F.lag("last_ts").over(inside)), F.col("first_ts")))
+    ranges = opened.groupBy("range").agg(
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max("opens").alias("opens"))
+    before = F.lag("last_ts").over(across)
+    ranges = ranges.withColumn("first_opens", F.when(before.isNull() | apart("first_ts", before), F.col("first_ts")))
+    open_before = F.last(F.coalesce("opens", "first_opens"), True).over(earlier_ranges)
+    ranges = ranges.select("range", F.coalesce("first_opens", open_before).alias("open_at_start"))
+    numbered = opened.join(ranges, "range").select(
+        "slot", "last_ts", F.coalesce(F.last("opens", True).over(until_row), F.col("open_at_start")).alias("batch_start"))
+    ended = attach_group_values(numbered, ["batch_start"], batch_end=F.max("last_ts"))
+    return spread_join(rows, ended.select("slot", "batch_start", "batch_end"), "slot").drop("slot")
 
 
 def debounce_batches(routed: DataFrame, quiet_seconds: int = QUIET_SECONDS) -> DataFrame:

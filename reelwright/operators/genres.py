@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,21 +108,25 @@ def variant_groups(items: DataFrame) -> DataFrame:
     )
 
 
-def _closest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for names in batches:
-        yield names.map(lambda n: difflib.get_close_matches(n, K.CANONICAL_GENRES, n=3, cutoff=0.6))
+def _similarity(a: Column, b: str) -> Column:
+    """1 less the edit distance over the length of the longer name, by characters."""
+    longest = F.greatest(F.length(a), F.lit(len(b)))
+    return 1 - F.levenshtein(a, F.lit(b)) / longest
 
 
-def suggest_mappings(items: DataFrame) -> DataFrame:
-    """Unknown genres with up to three similar canonical names, by count.
+def suggest_mappings(items: DataFrame, least: float = 0.5, limit: int = 3) -> DataFrame:
+    """Unknown genres with up to ``limit`` similar canonical names, the most similar first, by count.
 
-    The comparison runs in batches over the distinct genre names, not over items.
+    The comparison runs over the distinct genre names, not over items.
     """
-    closest = F.pandas_udf(_closest, "array<string>")
     unknown = genre_counts(items).where(
         ~F.col("genre").isin(*K.CANONICAL_GENRES) & ~F.lower("genre").isin(*K.GENRE_ALIASES)
     )
-    return unknown.select("genre", "n_items", closest("genre").alias("suggestions")).orderBy(F.desc("n_items"), "genre")
+    names = F.array(*[
+        F.struct((-_similarity(F.col("genre"), name)).alias("neg"), F.lit(name).alias("name")) for name in K.CANONICAL_GENRES])
+    close = F.slice(F.array_sort(F.filter(names, lambda n: n["neg"] <= -least)), 1, limit)
+    suggestions = F.transform(close, lambda n: n["name"])
+    return unknown.select("genre", "n_items", suggestions.alias("suggestions")).orderBy(F.desc("n_items"), "genre")
 
 
 # ---------------------------------------------------------------------------- updates

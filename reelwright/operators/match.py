@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright import constants as K
@@ -21,7 +21,7 @@ from reelwright.functions.text import normalize_title
 from reelwright.functions.util import lower_keys, non_blank
 from reelwright.operators.grouping import spread_join
 from reelwright.operators.select import override_condition, with_streams
-from reelwright.session import cut_lineage
+from reelwright.session import cut_lineage, written
 
 GRAM = 4
 SET_COLUMNS = ("n_items", "by_language", "by_quality")
@@ -99,12 +99,21 @@ def score_proposed(proposals: DataFrame, priorities: Sequence[str], as_of_epoch:
 
 
 def rank_candidates(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Copies of each set in the order of language, then quality.
+    """Copies with ``rank`` in their set, from 1, in the order of language, then quality; null keys are equal.
 
-    A range sort on key and rank together, so a set of any size is spread over the tasks.
+    A range sort on key and order spreads a set of any size over the tasks. Rows are numbered
+    within a range, and a range adds the rows that the ranges before it hold of the set.
     """
     copy = F.col("copy")
-    return scored.orderBy(*keys, copy["lang_rank"], copy["neg"], "item_id")
+    order = [copy["lang_rank"], copy["neg"], F.col("item_id")]
+    ranged = scored.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    dealt = written(ranged.withColumn("_set", F.struct(*keys)), "ranked")
+    counts = dealt.groupBy("_set", "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_set").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_set", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_set", "_range").orderBy(*order)
+    placed = spread_join(dealt.withColumn("_row", F.row_number().over(inside)), bases, ["_set", "_range"])
+    return placed.withColumn("rank", F.col("_base") + F.col("_row")).drop("_set", "_range", "_base", "_row")
 
 
 # ------------------------------------------------------------------------ candidate sets
@@ -267,18 +276,22 @@ def is_excluded(excluded: Sequence[str]) -> Column:
 def match_cascade(proposals: DataFrame, scored: DataFrame, series: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
     """Every proposal with the tier that settled it and that tier's candidate set.
 
-    Tiers: excluded, provider, series (by id; an absent episode ends the search), name, none.
+    Tiers: excluded, provider, series (by id; an absent episode ends the search), name, none. A
+    tier gets only the proposals that the tiers before it left open, which are written for it.
     """
     open_ones = proposals.where(~is_excluded(excluded))
     sets = [F.col(c) for c in SET_COLUMNS]
     numbered = F.col("season").isNotNull() & F.col("episode").isNotNull()
-    by_id = match_by_provider(open_ones, scored).select("proposal_id", F.lit("provider").alias("tier"), F.lit(1).alias("order"), *sets)
-    by_name = match_by_name(open_ones.where(~numbered), scored).select(
+    by_id = cut_lineage(match_by_provider(open_ones, scored).select(
+        "proposal_id", F.lit("provider").alias("tier"), F.lit(1).alias("order"), *sets))
+    unsettled = cut_lineage(open_ones.join(by_id, "proposal_id", "left_anti"))
+    by_name = match_by_name(unsettled.where(~numbered), scored).select(
         "proposal_id", F.lit("name").alias("tier"), F.lit(3).alias("order"), *sets)
-    owners = find_series(open_ones.where(numbered), series).select("*", F.lit("series").alias("tier"), F.lit(2).alias("order")).unionByName(
-        find_series_by_name(open_ones.where(numbered), series).select("*", F.lit("name").alias("tier"), F.lit(3).alias("order")))
-    owner = owners.groupBy("proposal_id").agg(F.min(F.struct("order", "tier", "series_id")).alias("o")).select("proposal_id", "o.*")
-    by_episode = match_episode(open_ones, scored, owner).select("proposal_id", "tier", "order", *sets)
+    episodes = unsettled.where(numbered)
+    by_series = cut_lineage(find_series(episodes, series).select("*", F.lit("series").alias("tier"), F.lit(2).alias("order")))
+    named = find_series_by_name(episodes.join(by_series, "proposal_id", "left_anti"), series).select(
+        "*", F.lit("name").alias("tier"), F.lit(3).alias("order"))
+    by_episode = match_episode(episodes, scored, by_series.unionByName(named)).select("proposal_id", "tier", "order", *sets)
     hits = by_id.unionByName(by_episode).unionByName(by_name)
     first = hits.groupBy("proposal_id").agg(F.min_by(F.struct("tier", *SET_COLUMNS), "order").alias("v"))
     settled = proposals.join(first.select("proposal_id", "v.*"), "proposal_id", "left")

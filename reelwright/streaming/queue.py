@@ -1,16 +1,10 @@
-"""Debounced queue as a table: events wait in files until their batch has gone quiet.
-
-Every micro-batch adds its events to the waiting ones, closes the batches that the watermark
-has left behind by the quiet time, and writes the rest as the next version of the waiting
-table. Versions are named after the micro-batch, so a repeated micro-batch reads the same
-input and writes the same output again. No state lives in a task.
-"""
+"""Debounced queue as a table: events wait in files until their batch has gone quiet."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,48 +12,36 @@ from reelwright.constants import QUIET_SECONDS
 from reelwright.operators import genres, localize
 from reelwright.operators.debounce import debounce_batches, quiet_batches
 from reelwright.sources.events import item_added, parse_events, route_events
+from reelwright.streaming.waiting import ONCE, Emit, run_waiting
 
-Flush = Callable[[DataFrame, int], None]
-WAITING = "ts timestamp, event_id bigint, queue string, id string, name string"
-
+QUEUED = "ts timestamp, event_id bigint, queue string, id string, name string"
 
-def mark_closed(events: DataFrame, late_seconds: int, quiet_seconds: int) -> DataFrame:
-    """Events with ``closed``: their batch has gone quiet by event time.
 
-    The clock is the latest event time seen, held back by the allowed lateness.
-    """
-    clock = events.select(F.max("ts") - F.expr(f"INTERVAL {late_seconds} SECONDS")).scalar()
+def mark_closed(events: DataFrame, clock: Column, quiet_seconds: int = QUIET_SECONDS) -> DataFrame:
+    """Events with ``settled``: their batch has gone quiet by the clock."""
     quiet_until = F.col("batch_end") + F.expr(f"INTERVAL {quiet_seconds} SECONDS")
-    return quiet_batches(events, quiet_seconds).withColumn("closed", quiet_until <= clock)
+    return quiet_batches(events, quiet_seconds).withColumn("settled", quiet_until <= clock)
 
 
-def run_queue(bodies: DataFrame, state_dir: str, checkpoint: str, flush: Flush, late_seconds: int = 600,
-              quiet_seconds: int = QUIET_SECONDS) -> StreamingQuery:
+def run_queue(bodies: DataFrame, state_dir: str, checkpoint: str, flush: Emit, late_seconds: int = 600,
+              quiet_seconds: int = QUIET_SECONDS, trigger: Mapping[str, object] = ONCE) -> StreamingQuery:
     """Start the queue over a stream of event bodies; ``flush`` gets each closed set of batches.
 
-    ``state_dir`` must be a folder that every executor reaches.
+    The last batch closes with the first event or tick (``waiting.with_ticks``) after its quiet time.
     """
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = route_events(item_added(parse_events(batch))).select("ts", "event_id", "queue", "id", "name")
-        if batch_id > 0:
-            new = new.unionByName(spark.read.schema(WAITING).parquet(f"{state_dir}/waiting/{batch_id - 1}"))
-        new.write.mode("overwrite").parquet(f"{state_dir}/seen/{batch_id}")
-        seen = spark.read.schema(WAITING).parquet(f"{state_dir}/seen/{batch_id}")
-        marked = mark_closed(seen, late_seconds, quiet_seconds)
-        columns = seen.columns
-        flush(debounce_batches(marked.where("closed").select(*columns), quiet_seconds), batch_id)
-        rest = marked.where("NOT closed").select(*columns)
-        rest.write.mode("overwrite").parquet(f"{state_dir}/waiting/{batch_id}")
-
-    return (
-        bodies.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-
-
-def flush_to_tables(items: DataFrame, genre_snapshot: DataFrame, localized: DataFrame, out_dir: str) -> Flush:
+    def prepare(batch: DataFrame) -> DataFrame:
+        routed = route_events(item_added(parse_events(batch.where("ts IS NOT NULL"))))
+        return routed.select("ts", "event_id", "queue", "id", "name")
+
+    def close(settled: DataFrame, batch_id: int) -> None:
+        flush(debounce_batches(settled, quiet_seconds), batch_id)
+
+    return run_waiting(bodies, prepare, QUEUED, lambda rows, clock: mark_closed(rows, clock, quiet_seconds), close,
+                       state_dir, checkpoint, late_seconds, trigger)
+
+
+def flush_to_tables(items: DataFrame, genre_snapshot: DataFrame, localized: DataFrame, out_dir: str) -> Emit:
     """Flush that runs the genre pass and then the description pass on the batch's ids."""
 
     def flush(batch: DataFrame, batch_id: int) -> None:

@@ -2,86 +2,54 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
+from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
-from reelwright.constants import MAX_SESSION_SECONDS, PLAYBACK_START, PLAYBACK_STOP
-from reelwright.operators.playback import describe_sessions
+from reelwright.constants import PLAYBACK_START, PLAYBACK_STOP
+from reelwright.operators.grouping import spread_join
+from reelwright.operators.playback import playback_sessions
+from reelwright.streaming.waiting import ONCE, Emit, run_waiting
 
-OUTPUT = (
-    "user_id string, item_id string, event_id bigint, start_ts timestamp, stop_ts timestamp, title string"
-)
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+HOLD_SECONDS = 30 * 86400
+EVENTS = "event_id bigint, type string, ts timestamp, user_id string, item_id string, name string"
 
 
-class SessionPairs(StatefulProcessor):
-    """Holds the starts of a user and item until a stop pairs the first of them.
+def mark_paired(events: DataFrame, clock: Column, hold_seconds: int = HOLD_SECONDS) -> DataFrame:
+    """Events with ``settled``: no later event can change the session they belong to.
 
-    Rows of one micro-batch are taken in order of time. Eight hours after a start no stop can
-    give it a duration any more, so it leaves without one; the first such start is remembered,
-    because the next stop still ends its block and swallows the starts after it.
+    That is so up to the last stop of the user and item that the clock has passed, as no earlier
+    event is still to come. A start that met no stop for ``hold_seconds`` is settled too.
+    """
+    key = ["user_id", "item_id"]
+    place = F.struct("ts", "event_id")
+    timed = events.withColumn("passed", F.col("ts") <= clock)
+    stops = timed.where((F.col("type") == PLAYBACK_STOP) & F.col("passed"))
+    last = stops.groupBy(*key).agg(F.max(place).alias("last_stop"))
+    before = F.coalesce(place <= F.col("last_stop"), F.lit(False))
+    expired = F.col("ts") + F.expr(f"INTERVAL {hold_seconds} SECONDS") <= clock
+    joined = spread_join(timed, last, key, "left")
+    return joined.withColumn("settled", before | expired).drop("passed", "last_stop")
+
+
+def run_sessions(events: DataFrame, state_dir: str, checkpoint: str, emit: Emit, late_seconds: int = 600,
+                 hold_seconds: int = HOLD_SECONDS, trigger: Mapping[str, object] = ONCE) -> StreamingQuery:
+    """Start the pairing over a stream of events; ``emit`` gets the sessions that became final.
+
+    Settled events are paired by ``playback_sessions``, so the stream gives what the batch operator
+    gives, in whatever micro-batches the events come, as long as none is later than ``late_seconds``
+    and no stop comes more than ``hold_seconds`` after its start.
     """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("open", "event_id bigint, ts timestamp, name string, left boolean")
-
-    def _rows(self, key, pairs: list[tuple]) -> pd.DataFrame:
-        columns = ["user_id", "item_id", "event_id", "start_ts", "stop_ts", "title"]
-        return pd.DataFrame([(key[0], key[1], *p) for p in pairs], columns=columns)
-
-    def _waiting(self) -> list[tuple]:
-        held = list(self.open.get()) if self.open.exists() else []
-        return sorted(held, key=lambda w: (w[1], w[0]))
-
-    def _hold(self, waiting: list[tuple]) -> None:
-        self.open.clear()
-        if waiting:
-            self.open.put(waiting)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        waiting, pairs = self._waiting(), []
-        for row in batch.itertuples(index=False):
-            ts = row.ts.to_pydatetime()
-            if row.type == PLAYBACK_START:
-                waiting.append((int(row.event_id), ts, row.name, False))
-                self.handle.registerTimer(_millis(ts) + MAX_SESSION_SECONDS * 1000)
-            elif waiting:
-                event_id, start, name, left = waiting[0]
-                if not left:
-                    pairs.append((event_id, start, ts, name))
-                waiting = []
-        self._hold(waiting)
-        if pairs:
-            yield self._rows(key, pairs)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() - MAX_SESSION_SECONDS * 1000
-        waiting = self._waiting()
-        gone = [w for w in waiting if not w[3] and _millis(w[1]) <= limit]
-        first = [(*w[:3], True) for w in waiting[:1] if w[3] or w in gone]
-        self._hold(first + [w for w in waiting if not w[3] and w not in gone])
-        if gone:
-            yield self._rows(key, [(w[0], w[1], None, w[2]) for w in gone])
-
-    def close(self) -> None:
-        pass
-
-
-def _millis(ts: dt.datetime) -> int:
-    """Epoch milliseconds of a session-zone (UTC) timestamp."""
-    return int(ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    def prepare(batch: DataFrame) -> DataFrame:
+        rows = batch.where(F.col("type").isin(PLAYBACK_START, PLAYBACK_STOP) & F.col("ts").isNotNull())
+        return rows.select("event_id", "type", "ts", F.coalesce("user_id", F.lit("")).alias("user_id"),
+                           F.coalesce("item_id", F.lit("")).alias("item_id"), "name")
 
+    def pair(settled: DataFrame, batch_id: int) -> None:
+        emit(playback_sessions(settled), batch_id)
 
-def sessions_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Streaming sessions; needs the RocksDB state store (``STATE_PROVIDER``)."""
-    rows = events.where(F.col("type").isin(PLAYBACK_START, PLAYBACK_STOP)).withWatermark("ts", late)
-    pairs = rows.groupBy("user_id", "item_id").transformWithStateInPandas(
-        SessionPairs(), outputStructType=OUTPUT, outputMode="append", timeMode="eventTime")
-    return describe_sessions(pairs)
+    return run_waiting(events, prepare, EVENTS, lambda rows, clock: mark_paired(rows, clock, hold_seconds), pair,
+                       state_dir, checkpoint, late_seconds, trigger)

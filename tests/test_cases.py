@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from reelwright.functions import dates, display, quality, text
 from reelwright.functions import paths as P
 from reelwright.functions.streams import language_rank, normalize_priorities
-from reelwright.operators import components, guard, index, inventory, localize, match, playback, retention, select
+from reelwright.operators import components, debounce, guard, index, inventory, localize, match, playback, retention, select
 from reelwright.operators import gaps as G
 from reelwright.operators import genres as GN
-from reelwright.operators.debounce import quiet_batches
 from reelwright.sources import snapshots
 from reelwright.sources.events import item_added, parse_events
+from reelwright.streaming.sessions import EVENTS, mark_paired
 
 
 def values(spark, expr, rows, schema):
@@ -389,17 +389,50 @@ def test_sessions_against_loop(spark, chunk):
     assert got == expected
 
 
-def test_quiet_batches_against_loop(spark):
+@pytest.mark.parametrize("slots", [1, 3, 4096])
+def test_quiet_batches_against_loop(spark, monkeypatch, slots):
+    monkeypatch.setattr(debounce, "RANGE_SLOTS", slots)
     rng = random.Random(5)
     base = dt.datetime(2024, 1, 1)
     stamps = sorted(base + dt.timedelta(seconds=rng.randint(0, 60000)) for _ in range(200))
-    expected, start = {}, None
+    starts, ends, start = {}, {}, None
     for before, ts in zip([None, *stamps], stamps):
         if before is None or (ts - before).total_seconds() >= 300:
             start = ts
-        expected[ts] = start
+        starts[ts], ends[start] = start, ts
     df = spark.createDataFrame([(t,) for t in stamps], "ts timestamp")
-    assert {r["ts"]: r["batch_start"] for r in quiet_batches(df).collect()} == expected
+    got = {r["ts"]: (r["batch_start"], r["batch_end"]) for r in debounce.quiet_batches(df).collect()}
+    assert got == {ts: (s, ends[s]) for ts, s in starts.items()}
+
+
+def test_sessions_wait_for_their_stop(spark):
+    base = dt.datetime(2024, 1, 1)
+    hours = [("playback.start", 0), ("playback.start", 1), ("playback.stop", 2), ("playback.start", 3), ("playback.stop", 60)]
+    rows = [(n, kind, base + dt.timedelta(hours=h), "u", "i", "x") for n, (kind, h) in enumerate(hours)]
+    rows.append((9, "playback.start", base, "v", "i", "x"))
+    df = spark.createDataFrame(rows, EVENTS)
+
+    def settled(clock_hours: int, hold_hours: int) -> set[int]:
+        clock = F.lit(base + dt.timedelta(hours=clock_hours))
+        return {r["event_id"] for r in mark_paired(df, clock, hold_hours * 3600).where("settled").collect()}
+
+    assert settled(1, 10) == set()
+    assert settled(2, 10) == {0, 1, 2}
+    assert settled(12, 10) == {0, 1, 2, 9}
+    assert settled(13, 10) == {0, 1, 2, 3, 9}
+    assert settled(60, 1000) == {0, 1, 2, 3, 4}
+
+
+def test_ranks_of_a_hot_set(spark):
+    rng = random.Random(3)
+    rows = [(None if n % 3 else n % 7, f"i{n:03d}", rng.randint(0, 2), float(rng.randint(0, 3))) for n in range(300)]
+    df = spark.createDataFrame(rows, "s int, item_id string, lang_rank int, neg double").select(
+        "s", "item_id", F.struct("lang_rank", "neg").alias("copy"))
+    expected = {}
+    for s in {r[0] for r in rows}:
+        for rank, r in enumerate(sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[3], r[1])), 1):
+            expected[r[1]] = rank
+    assert {r["item_id"]: r["rank"] for r in match.rank_candidates(df, ["s"]).collect()} == expected
 
 
 def test_event_bodies(spark):

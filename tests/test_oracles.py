@@ -32,7 +32,7 @@ def test_rows_only(spark, name):
 
 
 def test_no_cross_joins_and_few_python_plans(spark):
-    python = {"suggest_mappings", "detect_language", "sessions_stream"}
+    python = {"detect_language"}
     for name in ("delete_safe", "match_by_name", "movie_cleanup", "playback_sessions", "series_facts"):
         plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name

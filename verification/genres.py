@@ -94,9 +94,16 @@ def _(b: Bridge):
     return G.variant_mapping_counts(b.genre_items)
 
 
-@query("suggest_mappings")
+_CANONICAL = "[" + ", ".join(f"'{n}'" for n in K.CANONICAL_GENRES) + "]"
+
+
+@query("suggest_mappings", f"""SELECT g.genre, g.n_items, coalesce(string_agg(name, '|' ORDER BY likeness DESC, name) FILTER (place <= 3), '') AS suggestions FROM
+(SELECT genre, sum(n_items)::bigint AS n_items FROM o_gcount WHERE NOT list_contains({_CANONICAL}, genre) AND NOT list_contains(map_keys({_ALIAS}), lower(genre)) GROUP BY 1) g LEFT JOIN
+(SELECT *, row_number() OVER (PARTITION BY genre ORDER BY likeness DESC, name) AS place FROM
+(SELECT genre, name, 1 - levenshtein(genre, name) / greatest(length(genre), length(name)) AS likeness FROM (SELECT DISTINCT genre FROM o_gcount), (SELECT unnest({_CANONICAL}) AS name))
+WHERE likeness >= 0.5) USING (genre) GROUP BY ALL""")
 def _(b: Bridge):
-    return G.suggest_mappings(b.genre_items)
+    return G.suggest_mappings(b.genre_items).withColumn("suggestions", _join("suggestions"))
 
 
 @query("repair_duplicate_genres", f"""SELECT item_id, {_J.format(_distinct('genres'))} AS repaired, len(list_distinct(genres)) < len(genres) AS had_duplicates FROM o_g""")

@@ -151,10 +151,12 @@ def _(b: Bridge):
     return M.match_cascade(b.proposals, scored, b.series, EXCLUDED).select("proposal_id", "tier", "n_items")
 
 
-@query("rank_candidates", "SELECT series_id, season, episode, item_id, lang_rank, rating AS rating FROM o_have WHERE series_id IS NOT NULL")
+@query("rank_candidates", """SELECT series_id, season, episode, item_id, row_number() OVER (PARTITION BY series_id, season, episode ORDER BY lang_rank, rating DESC, item_id)::bigint AS rank,
+lang_rank, rating AS rating FROM o_have""")
 def _(b: Bridge):
-    ranked = M.rank_candidates(_scored(b).where("series_id IS NOT NULL"), ["series_id", "season", "episode"])
-    return ranked.select("series_id", "season", "episode", "item_id", "copy.lang_rank", F.col("copy.rating").alias("rating"))
+    """Episodes by their numbers; all movies, which have none, are one set."""
+    ranked = M.rank_candidates(_scored(b), ["series_id", "season", "episode"])
+    return ranked.select("series_id", "season", "episode", "item_id", "rank", "copy.lang_rank", F.col("copy.rating").alias("rating"))
 
 
 @query("compare_copies", f"""SELECT proposal_id, status, recommendation, {_REASON} AS reason, existing_id, existing_score AS existing_score, proposed_score AS proposed_score,

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from reelwright.session import checkpoint_dir
 from reelwright.sources.catalogue import scan_playback
 from reelwright.sources.events import item_added, parse_events, route_events
 from reelwright.streaming import queue
-from reelwright.streaming.sessions import STATE_PROVIDER, sessions_stream
+from reelwright.streaming.sessions import run_sessions
 from verification.bridge import Bridge
 from verification.registry import fragment, query
 
@@ -48,93 +47,88 @@ def _(b: Bridge):
     return rows.select(F.date_format("batch_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("batch_start"), "queue", "id", "name", "n_events")
 
 
-@contextmanager
-def _stateful(spark):
-    """State store and partition count for a stateful trial run; the session's own come back after."""
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER,
-        "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)),
-    }
-    before = {key: spark.conf.get(key) for key in wanted}
-    try:
-        for key, value in wanted.items():
-            spark.conf.set(key, value)
-        yield
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-
-
 def _folder(b: Bridge, name: str) -> str:
     return f"{checkpoint_dir(b.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _as_stream(spark, rows, folder: str, files: int = 4):
-    """The rows as a file stream in event-time order: one write per range, one file per trigger."""
-    cuts = rows.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [i / files for i in range(1, files)], 0.01)
-    edges = [None, *[int(c) for c in cuts], None]
+def _feed(rows, folder: str, run, parts: int = 3) -> None:
+    """The rows as a file stream in ranges of event time: one run of the stream per range.
+
+    ``run`` starts the stream and goes on from its checkpoint. A last run gets one tick, a row with a
+    time long after all others and nothing else, which moves the watermark past them.
+    """
+    spark = rows.sparkSession
+    cuts = rows.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
     micros = F.unix_micros("ts")
-    for low, high in zip(edges, edges[1:]):
-        part = rows if low is None else rows.where(micros >= low)
-        part = part if high is None else part.where(micros < high)
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    place = sum((F.when(micros >= int(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    end = rows.agg((F.max("ts") + F.expr("INTERVAL 60 DAYS")).alias("ts"))
+    tick = end.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    for part in [*(rows.where(place == i) for i in range(parts)), tick]:
+        part.write.mode("append").parquet(folder)
+        run(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
 
 
-@query("debounce_stream", """SELECT batch_start, queue, id, arg_max(name, (ts, event_id)) AS name, count(*) AS n_events FROM o_batches
-WHERE batch_end + INTERVAL 300 SECOND <= (SELECT max(ts) FROM o_routed) - INTERVAL 600 SECOND GROUP BY ALL""")
+@query("debounce_stream", "SELECT batch_start, queue, id, arg_max(name, (ts, event_id)) AS name, count(*) AS n_events FROM o_batches GROUP BY ALL")
 def _(b: Bridge):
-    """The queue run over the events as a file stream; batches still open at the end stay waiting."""
+    """The queue run over the events as a file stream, to the close of its last batch."""
     base = _folder(b, "queue")
-    stream = _as_stream(b.spark, b.item_added, f"{base}/in", 3)
 
     def flush(batch, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    queue.run_queue(stream, f"{base}/state", f"{base}/checkpoint", flush).awaitTermination()
+    _feed(b.item_added, f"{base}/in", lambda stream: queue.run_queue(stream, f"{base}/state", f"{base}/checkpoint", flush))
     rows = b.spark.read.schema("batch_start timestamp, queue string, id string, name string, n_events bigint").parquet(f"{base}/out/*")
     return rows.select(F.date_format("batch_start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("batch_start"), "queue", "id", "name", "n_events")
 
 
-@query("flush_batches")
+@query("flush_batches", """SELECT 'genres' AS queue, p::varchar AS item_id, array_to_string(merged, '|') AS value FROM o_cmp
+WHERE len(ext) > 0 AND len(missing) > 0 AND p::varchar IN (SELECT id FROM o_routed WHERE queue = 'genres')
+UNION ALL SELECT 'descriptions', p::varchar, coalesce(o, y::varchar) FROM (SELECT p, CASE WHEN sk_overview <> '' THEN sk_overview WHEN cs_overview <> '' THEN cs_overview WHEN en_overview <> '' THEN en_overview END AS o,
+CASE WHEN sk_tagline <> '' THEN sk_tagline WHEN cs_tagline <> '' THEN cs_tagline WHEN en_tagline <> '' THEN en_tagline END AS t, try_cast(year_text AS int) AS y
+FROM b_genres g JOIN b_localized l ON l.key = CASE WHEN type = 'Series' THEN 'tv:' ELSE 'movie:' END || tmdb WHERE NOT negative AND p::varchar IN (SELECT id FROM o_routed WHERE queue = 'descriptions'))
+WHERE o IS NOT NULL OR t IS NOT NULL OR y IS NOT NULL""")
 def _(b: Bridge):
-    """Closed batches run the genre pass and the description pass over the items they name."""
+    """Closed batches run the genre pass and the description pass over the items they name, to the last batch."""
     base = _folder(b, "flush")
-    stream = _as_stream(b.spark, b.item_added, f"{base}/in", 2)
     items = b.genre_items.withColumn("item_id", F.col("p").cast("string")).select(
         "item_id", "name", "type", "provider_ids", "genres", "genre_items", "locked_fields",
         F.lit("").alias("overview"), F.lit(None).cast("string").alias("overview_lang"), F.array().cast("array<string>").alias("taglines"),
         F.lit(None).cast("string").alias("tagline_lang"), F.lit("en").alias("title_lang"), F.lit(None).cast("int").alias("production_year"),
         F.lit(None).cast("string").alias("series_id"), F.lit(None).cast("int").alias("season"), F.lit(None).cast("int").alias("episode"))
     flush = queue.flush_to_tables(items, b.genre_snapshot, b.localized, base)
-    queue.run_queue(stream, f"{base}/state", f"{base}/checkpoint", flush).awaitTermination()
+    _feed(b.item_added, f"{base}/in", lambda stream: queue.run_queue(stream, f"{base}/state", f"{base}/checkpoint", flush), 2)
     genres = b.spark.read.schema("item_id string, new_genres array<string>").parquet(f"{base}/genres/*")
     texts = b.spark.read.schema("item_id string, set_overview string, set_year int").parquet(f"{base}/descriptions/*")
     return genres.select(F.lit("genres").alias("queue"), "item_id", F.array_join("new_genres", "|").alias("value")).unionByName(
         texts.select(F.lit("descriptions").alias("queue"), "item_id", F.coalesce("set_overview", F.col("set_year").cast("string")).alias("value"))).distinct()
 
 
-@query("session_summary_stream")
+@query("session_summary_stream", """SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS batch_start, strftime(max(ts) + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS quiet_from, count(*) AS n_events
+FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM
+(SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 300000000 THEN 0 ELSE 1 END AS opens FROM events)) GROUP BY user_id, session""")
 def _(b: Bridge):
+    """Counts per user and quiet-time session, over the events as a file stream."""
     base = _folder(b, "summary")
-    stream = _as_stream(b.spark, b.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), f"{base}/in")
-    summary = queue.session_summary(stream, "event_type")
-    with _stateful(b.spark):
-        summary.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(
-            availableNow=True).start().awaitTermination()
-    return b.spark.read.schema("event_type string, batch_start timestamp, quiet_from timestamp, n_events bigint").parquet(f"{base}/out")
+    rows = b.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+
+    def run(stream):
+        return queue.session_summary(stream, "user_id").writeStream.format("parquet").option("path", f"{base}/out").option(
+            "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+    _feed(rows, f"{base}/in", run)
+    counts = b.spark.read.schema("user_id bigint, batch_start timestamp, quiet_from timestamp, n_events bigint").parquet(f"{base}/out")
+    day = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return counts.select("user_id", F.date_format("batch_start", day).alias("batch_start"), F.date_format("quiet_from", day).alias("quiet_from"), "n_events")
 
 
-@query("sessions_stream", """SELECT user_id, item_id, event_id, title, duration_min, content_type, date FROM o_sessions WHERE duration_min IS NOT NULL""")
+@query("sessions_stream", """SELECT user_id, item_id, event_id, title, strftime(stop_ts, '%Y-%m-%d %H:%M:%S.%f') AS stop_ts, duration_min, content_type, date FROM o_sessions""")
 def _(b: Bridge):
-    """The stateful twin of playback_sessions; sessions with a measured duration."""
+    """The streaming twin of playback_sessions, to the last start that met no stop."""
     base = _folder(b, "sessions")
-    spark = b.spark
-    with _stateful(spark):
-        stream = _as_stream(spark, scan_playback(b.activity), f"{base}/in", 2)
-        sessions_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option(
-            "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    schema = "user_id string, item_id string, event_id bigint, title string, duration_min double, content_type string, date string"
-    return spark.read.schema(schema).parquet(f"{base}/out").where("duration_min IS NOT NULL")
 
+    def emit(sessions, batch_id: int) -> None:
+        sessions.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
+    _feed(scan_playback(b.activity), f"{base}/in", lambda stream: run_sessions(stream, f"{base}/state", f"{base}/checkpoint", emit))
+    schema = "user_id string, item_id string, event_id bigint, title string, stop_ts timestamp, duration_min double, content_type string, date string"
+    return b.spark.read.schema(schema).parquet(f"{base}/out/*").withColumn("stop_ts", F.date_format("stop_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
