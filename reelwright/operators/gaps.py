@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelwright.functions.display import display_name_year
 from reelwright.functions.util import first_non_blank, lower_keys, non_blank, provider_id
-from reelwright.operators.grouping import counts_with_range, first_per_key, joined_top, spread_join
+from reelwright.operators.grouping import counts_with_range, first_per_key, joined_top, spread_join, top_per_key
+from reelwright.session import written
 
 UNKNOWN_SERIES = "Unknown Series"
 
@@ -224,9 +226,7 @@ def _tagged_parts(parts: DataFrame, owned: DataFrame, max_year: int, excluded_ye
     )
 
 
-def franchise_counts(parts: DataFrame, owned: DataFrame, max_year: int, excluded_year: int | None = None) -> DataFrame:
-    """Collections of several parts of which some are owned and some are missing."""
-    tagged = _tagged_parts(parts, owned, max_year, excluded_year)
+def _count_parts(tagged: DataFrame) -> DataFrame:
     counts = tagged.groupBy("collection_id").agg(
         F.max("collection_name").alias("collection_name"), F.count("*").alias("total_parts"),
         F.count_if("have").alias("have"), F.count_if("missing").alias("missing"),
@@ -236,26 +236,37 @@ def franchise_counts(parts: DataFrame, owned: DataFrame, max_year: int, excluded
     )
 
 
+def franchise_counts(parts: DataFrame, owned: DataFrame, max_year: int, excluded_year: int | None = None) -> DataFrame:
+    """Collections of several parts of which some are owned and some are missing."""
+    return _count_parts(_tagged_parts(parts, owned, max_year, excluded_year))
+
+
 def franchise_gaps(parts: DataFrame, owned: DataFrame, max_year: int, excluded_year: int | None = None) -> DataFrame:
-    """The counts with the first five missing and owned titles by release date."""
-    tagged = _tagged_parts(parts, owned, max_year, excluded_year)
-    order = [F.col("sort_date"), F.col("part_id")]
+    """The counts with the first five missing and owned titles by release date.
+
+    The tagged parts are read for the counts and for both lists, so they are written once.
+    """
+    tagged = written(_tagged_parts(parts, owned, max_year, excluded_year), "parts")
     missing_label = F.concat(F.col("title"), F.lit(" ("), F.when(F.col("year") == "", F.lit("?")).otherwise(F.col("year")), F.lit(")"))
-    missing_titles = joined_top(tagged.where("missing").withColumn("label", missing_label),
-                                ["collection_id"], order, 5, "label", ", ", "missing_titles")
-    have_titles = joined_top(tagged.where("have"), ["collection_id"], order, 5, "own_name", ", ", "have_titles")
-    counts = franchise_counts(parts, owned, max_year, excluded_year)
-    return counts.join(missing_titles, "collection_id").join(have_titles, "collection_id")
+    listed = tagged.where("have OR missing").withColumn("label", F.when(F.col("have"), F.col("own_name")).otherwise(missing_label))
+    top = top_per_key(listed, ["collection_id", "have"], [F.col("sort_date"), F.col("part_id")], 5, "rank")
+
+    def first_five(kind: Column) -> Column:
+        ranked = F.array_sort(F.collect_list(F.when(kind, F.struct("rank", "label"))))
+        return F.array_join(F.transform(ranked, lambda r: r["label"]), ", ")
+
+    titles = top.groupBy("collection_id").agg(
+        first_five(F.col("missing")).alias("missing_titles"), first_five(F.col("have")).alias("have_titles"))
+    return _count_parts(tagged).join(titles, "collection_id")
 
 
 def export_franchises(parts: DataFrame, owned: DataFrame, max_year: int, min_pct: int, low: int, high: int,
                       excluded_year: int | None = None) -> DataFrame:
     """Missing movies of the collections that pass the filters, one row per movie."""
-    counts = franchise_counts(parts, owned, max_year, excluded_year)
-    wanted = counts.where((F.col("pct") >= min_pct) & F.col("missing").between(low, high)).select(
+    tagged = written(_tagged_parts(parts, owned, max_year, excluded_year), "parts")
+    wanted = _count_parts(tagged).where((F.col("pct") >= min_pct) & F.col("missing").between(low, high)).select(
         "collection_id", "total_parts", "have", F.col("missing").alias("n_missing"))
-    tagged = _tagged_parts(parts, owned, max_year, excluded_year).where("missing")
-    rows = tagged.select("collection_id", "collection_name", "part_id", "title", "year")
+    rows = tagged.where("missing").select("collection_id", "collection_name", "part_id", "title", "year")
     return spread_join(rows, wanted, "collection_id")
 
 
@@ -309,18 +320,13 @@ def export_header(rows: DataFrame) -> DataFrame:
 
 def overview_totals(movies: DataFrame, series: DataFrame, complete: DataFrame, franchises: DataFrame,
                     popular: DataFrame) -> DataFrame:
-    """One row of library and gap totals."""
-
-    def total(df: DataFrame, value: Column) -> Column:
-        return F.coalesce(df.select(value).scalar(), F.lit(0))
-
-    one = movies.agg(F.count("*").alias("movies"))
-    return one.select(
-        "movies", total(series, F.count("*")).alias("series"),
-        total(complete, F.sum("missing")).alias("missing_episodes"),
-        total(complete, F.count("*")).alias("series_with_gaps"),
-        total(franchises, F.sum("missing")).alias("missing_franchise_movies"),
-        total(franchises, F.count("*")).alias("franchises_with_gaps"),
-        total(popular, F.count("*")).alias("popular_missing"),
-    )
-
+    """One row of library and gap totals, from one row of each input."""
+    n, lacking = F.count("*"), F.sum("missing")
+    rows = [
+        movies.agg(n.alias("movies")), series.agg(n.alias("series")),
+        complete.agg(lacking.alias("missing_episodes"), n.alias("series_with_gaps")),
+        franchises.agg(lacking.alias("missing_franchise_movies"), n.alias("franchises_with_gaps")),
+        popular.agg(n.alias("popular_missing")),
+    ]
+    totals = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return totals.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in totals.columns])

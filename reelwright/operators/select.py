@@ -276,11 +276,11 @@ def smart_override(rated: DataFrame) -> DataFrame:
 
 
 def decision_columns(rated: DataFrame) -> DataFrame:
-    """The columns of rated members that decisions and their reports need, streams left out."""
+    """The columns of rated items that decisions and their reports need, streams left out."""
     ids = lower_keys(F.col("provider_ids"))
     primary = F.coalesce(*[F.try_element_at(ids, F.lit(p)) for p in K.PROVIDERS])
     return rated.select(
-        "group_id", "item_id", "rating", "languages", "lang_rank", "priority_language",
+        "item_id", "rating", "languages", "lang_rank", "priority_language",
         "name", "path", "library", "runtime_ticks", "size",
         non_blank(F.col("series_name")).alias("is_episode"), "series_name", "season", "episode",
         primary.alias("provider_id"), F.try_element_at(ids, F.lit("tmdb")).alias("tmdb_id"),

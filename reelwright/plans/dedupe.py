@@ -58,9 +58,13 @@ def rated_members(items: DataFrame, params: DedupeParams = DedupeParams()) -> Da
 
 
 def decide(items: DataFrame, params: DedupeParams = DedupeParams()) -> DataFrame:
-    """Long decision table: one row per member, keep or delete."""
-    rated = cut_lineage(select.decision_columns(rated_members(items, params)))
-    return select.select_keep_delete(rated)
+    """Long decision table: one row per member, keep or delete.
+
+    Items are rated where they are read, so that their streams are not shuffled.
+    """
+    rated = select.with_languages(select.rate_items(items), params.language_priorities)
+    members = candidates(items, params).join(select.decision_columns(rated), "item_id")
+    return select.select_keep_delete(cut_lineage(members))
 
 
 def guarded_decisions(items: DataFrame, params: DedupeParams = DedupeParams()) -> DataFrame:
