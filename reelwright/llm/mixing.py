@@ -5,7 +5,7 @@ blocks of ``block`` words (the last one is shorter). The mix is a row of slots.
 golden-ratio point frac((i + 1/2) * phi), and the cumulated targets map the point to a source, so
 that every stretch of the mix holds the sources in proportion. Slots are ranked per source, and the
 r-th slot of a source takes its block number r in an order that is shuffled anew for each pass over
-the source. A document is taken as often as its blocks are.
+the source. A document's words are taken as often as their blocks are.
 
 Targets follow the weights, but stop at ``most`` times the size of their source; what is over is
 shared again by weight among the rest until no target is above. This is the level L at which the
@@ -19,7 +19,7 @@ per stretch of slots; nothing is sorted in one task.
 
 Defined results: null and empty texts have size 0 and are taken 0 times. A null source is a source
 of its own, last in order. Sources of size 0 get target 0. Repeated rows, repeated and null doc_ids
-each keep their row. An empty table gives an empty mix. Other columns are not read. Reruns agree:
+each keep their row. An empty table gives an empty mix. ``mix`` reads no other columns. Reruns agree:
 documents are ordered by a hash of id and text, and equal rows are interchangeable only as their
 results over all equal rows.
 """
@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright.llm.ordering import with_starts
@@ -46,6 +46,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
 SPACE = r"[^\x20\x09-\x0D]+"
+WORDS = r"(?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 
 
 @dataclass(frozen=True)
@@ -138,25 +139,20 @@ def _order(blocks: int, epoch: int) -> tuple[int, int]:
     return step % blocks if blocks > 1 else 0, (blocks * (epoch + 1)) // 3
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
-        block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, key, source, size, source_size, target, taken): every document with the words the mix takes of it.
-
-    ``key`` is a hash of id, text and source.
-    """
+def _placed(docs: DataFrame, key: Column, weights: Sequence[float], share: float, most: float, block: int, id_col: str,
+            text_col: str, source_col: str) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(doc_id, source, size, key, number, start): documents on their source's line; what is known of each source;
+    (number, key, start, block, words, times): how often the mix takes each document's part of each block."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE)), F.lit(0)).cast("long")
     # The text is hashed and counted in the first pass; only narrow rows move.
     narrow = written(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"),
-        F.xxhash64(F.col(id_col).isNull(), id_col, text_col, F.col(source_col).isNull(), source_col).alias("key"),
-    ), "sizes")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "sizes")
     per_source = [(r.source, r.n) for r in narrow.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     sources = plan(per_source, weights, share, most, block)
     sources, _ = _schedule(sources, block)
     if not sources:
-        return narrow.select("doc_id", "key", "source", "size", F.lit(0).cast("long").alias("source_size"),
-                             F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        return narrow, None, None
     known = spark.createDataFrame(
         [(s.name, i, s.size, s.target, s.blocks, *_order(max(1, s.blocks), 0), *_order(max(1, s.blocks), 1))
          for i, s in enumerate(sources)],
@@ -182,7 +178,21 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     # The product stays exact: step and r are below 2^31 for up to 2^39 words in a source.
     taken_blocks = slots.select("number", ((step * r + start) % F.col("blocks")).alias("block")).groupBy(
         "number", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = pieces.join(taken_blocks, ["number", "block"]).groupBy("number", "key", "start").agg(
+    return placed, known, pieces.join(taken_blocks, ["number", "block"])
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
+        block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, key, source, size, source_size, target, taken): every document with the words the mix takes of it.
+
+    ``key`` is a hash of id, text and source.
+    """
+    key = F.xxhash64(F.col(id_col).isNull(), id_col, text_col, F.col(source_col).isNull(), source_col)
+    placed, known, pieces = _placed(docs, key, weights, share, most, block, id_col, text_col, source_col)
+    if known is None:
+        return placed.select("doc_id", "key", "source", "size", F.lit(0).cast("long").alias("source_size"),
+                             F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+    taken = pieces.groupBy("number", "key", "start").agg(
         F.sum(F.col("words") * F.col("times")).alias("taken"))
     totals = F.broadcast(known.select("number", "source_size", "target"))
     # Documents of size 0 share their start with the next one, so size is part of the match.
@@ -194,15 +204,40 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST,
                     block: int = BLOCK) -> DataFrame:
-    """The documents as often as the mix takes them, to the nearest whole number; sizeless ones once.
+    """The words that the mix takes, as rows of documents; sizeless documents once.
 
-    Equal rows share what is taken of all of them evenly.
+    Neighbouring blocks of a document that are taken in the same pass make one row, whose text is that part of the
+    document with its white space; a document that is taken whole is one row with its own text. Other columns are
+    the document's.
     """
-    found = mix(docs, weights, share, most, block).groupBy("key").agg(
-        F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_size") + 0.5)).cast("int")
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text", F.col("source").isNull(), "source")
-    keyed = docs.select("*", key.alias("_key"))
-    counted = spread_join(keyed, found.select(F.col("key").alias("_key"), times.alias("_times")), "_key")
-    repeated = counted.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    rest = [F.to_json(F.struct(*others))] if others else []
+    # Rows of equal keys are equal in all columns, so any of them can stand for the others.
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text", F.col("source").isNull(), "source", *rest)
+    placed, known, pieces = _placed(docs, key, weights, share, most, block, "doc_id", "text", "source")
+    if known is None:
+        return docs.limit(0)
+    one = ["number", "key", "start"]
+    passes = pieces.select(*one, "block", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("pass"))
+    in_pass = Window.partitionBy(*one, "pass").orderBy("block")
+    runs = passes.withColumn("run", F.col("block") - F.row_number().over(in_pass)).groupBy(*one, "pass", "run").agg(
+        (F.min("block") * block).alias("lo"), ((F.max("block") + 1) * block).alias("hi"))
+    taken = runs.groupBy(*one).agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    sized = placed.where("size > 0").select(*one, "size").join(taken, one)
+    lo, hi = (lambda r: F.greatest(r["lo"] - F.col("start"), F.lit(0))), (
+        lambda r: F.least(r["hi"] - F.col("start"), F.col("size")))
+    cut = F.transform("runs", lambda r: F.struct(lo(r).alias("at"), (hi(r) - lo(r)).alias("n")))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n")))
+    parts = sized.select(F.col("key").alias("_key"), F.col("size").alias("_size"), cut.alias("_parts")).unionByName(
+        placed.where("size = 0").select(F.col("key").alias("_key"), F.col("size").alias("_size"), none.alias("_parts")))
+    rows = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row")).groupBy("_key").agg(
+        F.first("_row").alias("_row"))
+    found = spread_join(parts, rows, "_key")
+    # Words with the white space after them; the first also with that before it. Found once a document.
+    words = F.when(F.exists("_parts", lambda p: p["n"] < F.col("_size")),
+                   F.regexp_extract_all(F.col("_row")["text"], F.lit(WORDS), F.lit(0)))
+    texts = F.transform(F.array(words), lambda w: F.transform("_parts", lambda p: F.when(
+        p["n"] == F.col("_size"), F.col("_row")["text"]).otherwise(
+        F.array_join(F.slice(w, (p["at"] + 1).cast("int"), p["n"].cast("int")), ""))))[0]
+    emitted = found.select("_row", F.explode(texts).alias("_text"))
+    return emitted.select(*[F.col("_text").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

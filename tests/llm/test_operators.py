@@ -246,3 +246,28 @@ def test_pipeline(spark):
     kept = corpus_pipeline.deduplicated(spark, corpus_pipeline.recognised(spark, docs, SF), SF)
     assert kept.columns == docs.columns and kept.count() < docs.count()
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_mixture_emits_what_the_schedule_takes(spark, docs):
+    rng = np.random.default_rng(8)
+    # Long documents in every source, a source with most of the words, repeated rows, and white space of all kinds.
+    rows = [(i, "\n " + "".join(f"s{i % 7}d{i}w{j}" + " \t\n"[j % 3] for j in range(int(rng.choice([3, 300, 4000])))),
+             f"src{min(i % 7, 4)}", i % 3) for i in range(60)]
+    rows += [(100, " ".join(f"hot{j}" for j in range(60_000)), "src1", 0), (101, "twice " * 900, "src2", 0),
+             (101, "twice " * 900, "src2", 1), (None, None, "src0", 2), (102, "", "src3", 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int")
+    got = mixing.mixed_documents(table).collect()
+    emitted, targets, words = collections.Counter(), {}, collections.Counter()
+    for r in mixing.mix(table).collect():
+        targets[r.source], words[r.source] = r.target, r.source_size
+    by_id = {(r[0], r[3]): r for r in rows}
+    for r in got:
+        emitted[r.source] += len((r.text or "").split())
+        assert (r.text or "") in (by_id[r.doc_id, r.extra][1] or "") and r.source == by_id[r.doc_id, r.extra][2]
+    assert all(abs(emitted[s] - targets[s]) <= 3 * 256 + 0.01 * targets[s] for s in targets), (emitted, targets)
+    passes = collections.Counter(w for r in got if r.doc_id != 101 for w in (r.text or "").split())
+    assert max(passes.values()) <= 2 and any(0 < targets[s] < 2 * words[s] for s in targets)
+    assert sum(r.doc_id is None and r.text is None for r in got) == 1 and sum(r.doc_id == 102 for r in got) == 1
+    odd = mixing.mixed_documents(docs, block=16)
+    taken = sum(r.taken for r in mixing.mix(docs, block=16).collect())
+    assert abs(sum(len((r.text or "").split()) for r in odd.collect()) - taken) <= 2 * 16 * 4
