@@ -12,7 +12,7 @@ import xxhash
 from oracle import compare, connect
 
 from reelwright.llm import (
-    decontaminate, fixity, language, mixing, records, registered, repeats, simhash, topk, toxicity, urls,
+    decontaminate, fixity, language, mixing, nearcopies, records, registered, repeats, simhash, topk, toxicity, urls,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -271,3 +271,28 @@ def test_mixture_emits_what_the_schedule_takes(spark, docs):
     odd = mixing.mixed_documents(docs, block=16)
     taken = sum(r.taken for r in mixing.mix(docs, block=16).collect())
     assert abs(sum(len((r.text or "").split()) for r in odd.collect()) - taken) <= 2 * 16 * 4
+
+
+def _similarity(a, b):
+    sets = []
+    for t in (a, b):
+        words = t.lower().split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_near_copies_are_found_by_similarity(spark):
+    rng = np.random.default_rng(11)
+    rows, pairs = [], []
+    for i in range(120):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        other = list(words)
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.005, 0.06))), replace=False):
+            other[at] = f"new{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append(_similarity(rows[-2][1], rows[-1][1]))
+    base = [f"c{x}" for x in rng.integers(0, 5000, 300)]  # a hot group: copies of one text, each with its own words
+    hot = [(1000 + i, " ".join(w if j != i else "own" for j, w in enumerate(base))) for i in range(200)]
+    assert sum(0.8 <= p < 0.95 for p in pairs) > 20 and sum(p < 0.8 for p in pairs) > 20
+    kept = {r.doc_id for r in nearcopies.keep_one_per_class(spark.createDataFrame(rows + hot, "doc_id long, text string")).collect()}
+    assert kept == {2 * i for i in range(120)} | {2 * i + 1 for i, p in enumerate(pairs) if p < 0.8} | {1000}
