@@ -296,3 +296,12 @@ def test_near_copies_are_found_by_similarity(spark):
     assert sum(0.8 <= p < 0.95 for p in pairs) > 20 and sum(p < 0.8 for p in pairs) > 20
     kept = {r.doc_id for r in nearcopies.keep_one_per_class(spark.createDataFrame(rows + hot, "doc_id long, text string")).collect()}
     assert kept == {2 * i for i in range(120)} | {2 * i + 1 for i, p in enumerate(pairs) if p < 0.8} | {1000}
+
+
+def test_one_row_of_each_class_stays_whatever_its_id(spark):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one, "x"), (1, other, "x"), (2, one, "x"), (None, one, "y"), (3, other, "x"), (3, other, "x")]
+    rows += [(None, third, "z")] * 30 + [(None, None, "z"), (4, "", "z")]
+    got = nearcopies.keep_one_per_class(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(
+        [(1, one), (1, other), (None, third), (4, "")])
