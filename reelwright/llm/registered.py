@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelwright.llm import (
-    decontaminate, fixity, language, mixing, records, repeats, simhash, topk, toxicity, urls,
+    audit, decontaminate, fixity, importance, language, mixing, packing, records, repeats, simhash, topk, toxicity, urls,
 )
 from reelwright.session import small_batches
 
@@ -81,10 +81,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    return audit.report(audit.counters(spark, f"{sf_dir}/documents.parquet", labels))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.packed(_table(spark, sf_dir, "documents"), tokenizer_path(), END_ID))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (
         op1_warc_fixity, op2_toxicity, op3_records, op4_language, op5_mixing, op6_url_rules, op7_simhash, op8_top_k,
-        op9_repeats, op10_decontamination,
+        op9_repeats, op10_decontamination, op11_filter_audit, op12_importance, op13_packing,
     )
 }
 SQL: dict[str, str] = {
@@ -92,4 +106,6 @@ SQL: dict[str, str] = {
     "op6_url_rules": urls.JUDGE_SQL,
     "op8_top_k": topk.TOPK_SQL,
     "op10_decontamination": decontaminate.LEAKS_SQL,
+    "op11_filter_audit": audit.AUDIT_SQL,
+    "op12_importance": importance.IMPORTANCE_SQL,
 }
