@@ -50,12 +50,14 @@ MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<Ic")
 WORDS_KEPT = 500_000
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 21
 FILE_BYTES = 24 << 20  # of text
 #: A full stop or comma beside another sign makes a piece with it.
 SIGNS_MEET = re.compile(r"[.,](?:(?=[^\s\w]|_)|(?<=[^\s\w].)|(?<=_.))")
 #: Python's white space that the tokenizers do not take for white space.
 NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: White space beyond ASCII.
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def masked(data: bytes) -> int:
@@ -86,9 +88,10 @@ class Encoder:
     """Ids of texts as bytes, by the tokenizers library.
 
     Where the tokenizer's settings allow it, texts are cut into words, at white space and around single
-    full stops and commas, and the words are looked up. New words that are runs of lower-case letters in
-    composed form, which normalising and cutting leave as they are, go to the tokenizer's model many at
-    a time; other new words go to the whole tokenizer.
+    full stops and commas. The words of many texts are numbered by Arrow, each different word is looked up
+    once, and the ids of the texts are gathered from a table of the words' ids. New words that are runs of
+    lower-case letters in composed form, which normalising and cutting leave as they are, go to the
+    tokenizer's model many at a time; other new words go to the whole tokenizer, parted by a special token.
     """
 
     def __init__(self, path: str, id_bytes: int):
@@ -100,26 +103,40 @@ class Encoder:
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = Split(" ", "removed")
         self.dtype = f"<u{id_bytes}"
-        self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
         self.by_words = splits_at_white_space(settings)
         self.by_letters = self.by_words and cuts_letters_whole(settings)
         self.of_byte = byte_letters()
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
-
-    def _words(self, text: str) -> list[str] | None:
-        """Words that encode alone; none if the text has to be encoded whole."""
-        if not self.by_words or any(c in text for c in NOT_SPACE):
+        added = [(t["content"], t["id"]) for t in settings.get("added_tokens", ())]
+        self.special = re.compile("|".join(re.escape(c) for c, _ in added) or r"(?!)", re.IGNORECASE)
+        self.parting = added[-1] if added else None
+        suffix = settings["model"].get("end_of_word_suffix")
+        vocabulary = settings["model"].get("vocab", {})
+        self.ends_word = None
+        if suffix and isinstance(vocabulary, dict):
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, self.dtype)
+        self.until = np.zeros(1 << 14, np.int64)  # where the ids of each known word end; the first entry is no word
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.dtype) for e in found]
+
+    def _words(self, text: str) -> str | None:
+        """The text with its words between spaces, each of which encodes alone; none if it has to be encoded whole."""
+        if not self.by_words or any(c in text for c in NOT_SPACE) or self.special.search(text):
             return None
         if self.by_letters and "\u03a3" not in text:  # final sigma: lower-cased by its neighbours
             text = text.lower()
             if not SIGNS_MEET.search(text):
                 text = text.replace(".", " . ").replace(",", " , ")
-        return text.split()
+        return text if text.isascii() else WIDE_SPACE.sub(" ", text)
 
     def _piece(self, word: str) -> str | None:
         """The word as the model takes it, if it is a run of lower-case letters."""
@@ -131,28 +148,72 @@ class Encoder:
             return word.encode().decode("latin-1").translate(self.of_byte)
         return None
 
+    def _add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Words with their ids, one after another, and where each word's ids end."""
+        n, at = len(self.known), self.until[len(self.known)]
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while n + len(words) >= len(self.until):
+            self.until = np.concatenate((self.until, np.zeros_like(self.until)))
+        self.ids[at:at + len(ids)] = ids
+        self.until[n + 1:n + 1 + len(words)] = at + ends
+        self.known.update(zip(words, range(n, n + len(words))))
+
+    def _add_each(self, words: list[str]) -> None:
+        found = self._whole(words)
+        self._add(words, np.concatenate(found), np.cumsum([len(x) for x in found]))
+
     def _learn(self, words: list[str]) -> None:
         pieces = [self._piece(w) for w in words]
         plain = [w for w, p in zip(words, pieces) if p is not None]
         others = [w for w, p in zip(words, pieces) if p is None]
-        self.known.update(zip(others, self._whole(others)))
         if plain:
-            found = self.bare.encode(" ".join([p for p in pieces if p is not None]), add_special_tokens=False)
-            ids = np.array(found.ids, self.dtype).tobytes()
-            width = len(ids) // len(found.ids)
-            cuts = (np.searchsorted(np.array(found.word_ids), np.arange(len(plain) + 1)) * width).tolist()
-            self.known.update(zip(plain, [ids[a:b] for a, b in zip(cuts, cuts[1:])]))
+            text = " ".join([p for p in pieces if p is not None])
+            if self.ends_word is not None:
+                ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+            else:
+                found = self.bare.encode(text, add_special_tokens=False)
+                ids = np.array(found.ids, self.dtype)
+                ends = np.searchsorted(np.array(found.word_ids), np.arange(1, len(plain) + 1))
+            if len(ends) != len(plain):  # a word without a last piece of its own
+                others = words
+            else:
+                self._add(plain, ids, ends)
+        if others and self.parting:
+            text, mark = self.parting
+            joined = f" {text} ".join([*others, ""])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            parted = ids == mark
+            ends = np.flatnonzero(parted)
+            if len(ends) == len(others):
+                self._add(others, ids[~parted], ends - np.arange(len(ends)))
+                return
+        if others:
+            self._add_each(others)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        words = [self._words(t) for t in texts]
-        met: set[str] = set()
-        for own in words:
-            met.update(own or ())
-        self._learn(list(met.difference(self.known)))
-        get = self.known.get
-        return [self._whole([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, words)]
+            self._forget()
+        spaced = [self._words(t) for t in texts]
+        lists = pc.ascii_split_whitespace(pa.array(spaced, pa.large_string()))
+        numbered = lists.flatten().dictionary_encode()
+        different = numbered.dictionary.to_numpy(zero_copy_only=False)
+        place = np.array([self.known.get(w, -1) for w in different], np.int64)
+        new = np.flatnonzero((place < 0) & (different != ""))  # splitting leaves an empty word at either end
+        if len(new):
+            words = different[new].tolist()
+            self._learn(words)
+            place[new] = [self.known[w] for w in words]
+        begin, end = np.where(place < 0, 0, self.until[place]), np.where(place < 0, 0, self.until[place + 1])
+        codes = numbered.indices.to_numpy(zero_copy_only=False)
+        sizes = (end - begin)[codes]
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        ids = self.ids[np.repeat(begin[codes] - before[:-1], sizes) + np.arange(before[-1])]
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        cuts = before[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [self._whole([t])[0].tobytes() if s is None else ids[a:b].tobytes()
+                for t, s, a, b in zip(texts, spaced, cuts, cuts[1:])]
 
 
 def byte_letters() -> dict[int, str]:
