@@ -1,61 +1,100 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by contraction in tasks and large-star steps between them.
 
-Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Every step is a
-grouped minimum that combines before the shuffle plus a join back; the edge count never
-grows, and O(log^2 n) rounds suffice. Each step is written to the checkpoint folder and
-counts, while it is written, the edges it moved; the search ends with the first round that
-moves none.
+A round has two steps. Contraction: every task joins the edges it holds by union-find and sends on a spanning forest, each
+node with the least node of its tree, then does the same with all edges of the nodes that are dealt to it. So what a task
+can settle alone never becomes traffic, and a node sends one edge a task at most, however many edges it has. Large-star
+(Kiveris et al., "Connected Components in MapReduce and Beyond", 2014): every larger neighbour of a node moves to the least
+label around it, a grouped minimum that combines before the shuffle plus a join back whose hot labels can be split.
+
+Contraction by node does all that a small-star step does, so O(log^2 n) rounds suffice, and two or three are usual.
+The search ends with the round in which large-star moves nothing, which it counts while it is written, and no node has two labels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reelwright.operators.grouping import spread_join
 from reelwright.session import cut_lineage
 
+EDGES_AT_ONCE = 2_000_000  # that a task holds in memory; more are joined chunk by chunk
 
-def _step(rows: DataFrame, moved: Column) -> tuple[DataFrame, int]:
-    """The step written out, and the number of its rows for which ``moved`` holds."""
-    seen = Observation()
-    done = cut_lineage(rows.observe(seen, F.count(F.when(moved, 1)).alias("moved")).drop("was"))
-    return done, seen.get["moved"]
+
+def forest(pairs: Iterator[tuple]) -> dict:
+    """Each node of the pairs that is not the least of its tree, with the least node of its tree."""
+    parent: dict = {}
+
+    def root(x):
+        above = parent.get(x, x)
+        while above != x:
+            higher = parent.get(above, above)
+            if higher != above:
+                parent[x] = higher
+            x, above = above, higher
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(parent)}
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        found = forest(pair for b in held for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        kind = held[0].schema.field(0).type
+        return pa.RecordBatch.from_arrays([pa.array(list(found), kind), pa.array(list(found.values()), kind)], ["u", "v"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= EDGES_AT_ONCE:
+            yield sent(held)
+            held, size = [], 0
+    if held:
+        yield sent(held)
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """(u, v), v the least node that a task knows to be connected with u: within tasks, then among all edges of a node."""
+    kind = edges.schema["u"].dataType.simpleString()
+    schema = f"u {kind}, v {kind}"
+    return edges.select("u", "v").mapInArrow(_contracted, schema).repartition("u").mapInArrow(_contracted, schema)
 
 
 def _large_star(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Every larger neighbour of a node moves to the smallest label around the node."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    """Every larger neighbour of a node moves to the least label around the node; how many moved."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = spread_join(both.where("v > u"), lowest, "u")
-    rows = joined.select(F.col("v").alias("u"), F.col("m").alias("v"), F.col("u").alias("was"))
-    return _step(rows, F.col("v") != F.col("was"))
-
+    rows = joined.select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
+    seen = Observation()
+    done = cut_lineage(rows.observe(seen, F.count(F.when(F.col("moved"), 1)).alias("moved")).drop("moved"))
+    return done, seen.get["moved"]
 
-def _small_star(edges: DataFrame) -> tuple[DataFrame, int]:
-    """A node and its smaller neighbours all move to the smallest of them."""
-    lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    beside = spread_join(edges, lowest, "u").where("v <> m")
-    rows = beside.select(F.col("v").alias("u"), F.col("m").alias("v"), F.lit(True).alias("was")).union(
-        lowest.select("u", F.col("m").alias("v"), F.lit(False).alias("was"))
-    )
-    # A repeated edge goes once into the next round; a moved one tells that it moved.
-    once = rows.groupBy("u", "v").agg(F.max("was").alias("was"))
-    return _step(once, F.col("was"))
 
+def connected_components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(item_id, component) for every node of ``edges`` (src, dst); the label is the least id.
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(item_id, component) for every node of ``edges`` (src, dst); the label is the least id."""
-    current = cut_lineage(
-        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-        .distinct()
-    )
-    moved = -1
-    while moved:
-        current, far = _large_star(current)
-        current, near = _small_star(current)
-        moved = far + near
-    roots = current.select(F.col("v").alias("item_id")).distinct()
-    return current.select(F.col("u").alias("item_id"), F.col("v").alias("component")).unionByName(
+    ``known`` (item_id, component) are labels of an earlier run, all of whose edges still hold: edges that came since
+    are enough then. Null ends link nothing.
+    """
+    pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    if known is not None:
+        pairs = pairs.union(known.select(F.greatest("item_id", "component"), F.least("item_id", "component")))
+    current, settled = pairs.where("u <> v"), False
+    while not settled:
+        current, moved = _large_star(cut_lineage(contract(current)))
+        ends = current.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("last"))
+        settled = not moved and ends.where("v <> last").isEmpty()
+    labels = cut_lineage(ends.select("u", "v"))
+    roots = labels.select(F.col("v").alias("item_id")).distinct()
+    return labels.select(F.col("u").alias("item_id"), F.col("v").alias("component")).unionByName(
         roots.select("item_id", F.col("item_id").alias("component"))
     )

@@ -191,26 +191,27 @@ def match_episode(proposals: DataFrame, scored: DataFrame, found_series: DataFra
 # ------------------------------------------------------------------------------- titles
 
 
-def _grams(text: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substring(text, i, F.lit(size)))
+def titles_held(texts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(text, whole): for each text, those of the ``wholes`` that lie in it, itself included; none is empty.
 
-
-def _inside(small: DataFrame, large: DataFrame) -> DataFrame:
-    """(small, large) pairs of distinct texts where the first lies in the second.
-
-    A text is looked up by its rarest run of four characters (a shorter one by itself), and
-    what shares that run is verified. Every containing text holds the run, so nothing is lost.
+    A text is asked only for its own stretches that can be a whole: at each place, those of the lengths that wholes with the
+    same first characters have. So a row is made per place and length of a text, never per pair of a text and a whole, and
+    a stretch that many texts share is joined by equality. Both inputs have distinct values.
     """
-    none = F.array().cast("array<string>")
-    whole = F.when(F.length("large") >= GRAM, _grams(F.col("large"), GRAM)).otherwise(none)
-    shorter = [F.when(F.length("large") >= n, _grams(F.col("large"), n)).otherwise(none) for n in range(1, GRAM)]
-    runs = large.select("large", F.explode(F.array_distinct(F.flatten(F.array(whole, *shorter)))).alias("gram"))
-    weight = runs.groupBy("gram").agg(F.count("*").alias("n"))
-    own = F.when(F.length("small") >= GRAM, F.array_distinct(_grams(F.col("small"), GRAM))).otherwise(F.array("small"))
-    asked = small.select("small", F.explode(own).alias("gram")).join(weight, "gram", "left")
-    rarest = asked.groupBy("small").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    keyed = rarest.where("r.n > 0").select("small", F.col("r.gram").alias("gram"))
-    return keyed.join(runs, "gram").where(F.col("large").contains(F.col("small"))).select("small", "large")
+    first = F.substring("whole", 1, GRAM)
+    lengths = wholes.where("whole <> ''").groupBy(first.alias("head")).agg(F.collect_set(F.length("whole")).alias("lengths"))
+    # The first characters of a whole that is shorter than GRAM are all of it, so shorter heads are asked for too.
+    places = F.transform(
+        F.sequence(F.lit(1), F.length("text")),
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("text") - i + 1)),
+                              lambda n: F.struct(i.alias("place"), F.substring("text", i, n).alias("head"))))
+    asked = texts.where("text <> ''").select("text", F.explode(F.flatten(places)).alias("p")).select("text", "p.*")
+    met = spread_join(asked, lengths, "head").select("text", "place", F.explode("lengths").alias("n"))
+    stretch = F.substring("text", F.col("place"), F.col("n"))
+    found = met.where(F.col("place") + F.col("n") - 1 <= F.length("text")).select("text", "place", stretch.alias("whole"))
+    # A stretch that a text has twice is asked for once, at its first place.
+    once = found.where(F.instr(F.col("text"), F.col("whole")) == F.col("place")).select("text", "whole")
+    return spread_join(once, wholes.select("whole"), "whole").select("text", "whole")
 
 
 def title_pairs(left: DataFrame, right: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -221,45 +222,65 @@ def title_pairs(left: DataFrame, right: DataFrame, fuzzy: bool = True) -> DataFr
     """
     a = cut_lineage(left.select(normalize_title(F.col("title")).alias("left")).where("left IS NOT NULL").distinct())
     b = cut_lineage(right.select(normalize_title(F.col("title")).alias("right")).where("right IS NOT NULL").distinct())
-    same = a.join(b, a["left"] == b["right"])
     if not fuzzy:
-        return same
-    x, y = a.where("left <> ''"), b.where("right <> ''")
-    left_in = _inside(x.toDF("small"), y.toDF("large")).select(F.col("small").alias("left"), F.col("large").alias("right"))
-    right_in = _inside(y.toDF("small"), x.toDF("large")).select(F.col("large").alias("left"), F.col("small").alias("right"))
-    return same.unionByName(left_in).unionByName(right_in).distinct()
+        return a.join(b, a["left"] == b["right"])
+    right_in_left = titles_held(a.toDF("text"), b.toDF("whole")).toDF("left", "right")
+    left_in_right = titles_held(b.toDF("text"), a.toDF("whole")).select(F.col("whole").alias("left"), F.col("text").alias("right"))
+    nothing = a.where("left = ''").join(b.where("right = ''"), a["left"] == b["right"])
+    return right_in_left.unionByName(left_in_right.where("left <> right")).unionByName(nothing)
 
 
 def _titled(df: DataFrame) -> DataFrame:
     return df.withColumn("norm", normalize_title(F.col("name")))
 
 
+def by_matching_title(asked: DataFrame, titles: DataFrame, keys: Sequence[str], merge) -> DataFrame:
+    """Per asked title and ``keys``, what ``merge(rows, [left, *keys])`` makes of the rows of all titles that match it.
+
+    ``asked`` has distinct titles in ``left``; ``titles`` has them in ``right``, one row per title and keys. Rows of titles that
+    hold an asked title are merged as they come from the index, before they are shuffled, so the matching titles of an
+    asked one are never listed.
+    """
+    distinct = cut_lineage(titles.select("right").distinct())
+    inside = titles_held(asked.select(F.col("left").alias("text")), distinct.select(F.col("right").alias("whole")))
+    around = titles_held(distinct.select(F.col("right").alias("text")), asked.select(F.col("left").alias("whole")))
+    nothing = asked.where("left = ''").select("left", F.lit("").alias("right"))
+    held = inside.toDF("left", "right").unionByName(nothing).unionByName(
+        around.where("text <> whole").select(F.col("whole").alias("left"), F.col("text").alias("right")))
+    return merge(held.join(titles, "right"), ["left", *keys])
+
+
 def match_by_name(proposals: DataFrame, scored: DataFrame) -> DataFrame:
     """Proposals with the set of all items whose title matches, in the asked year if any.
 
-    Requests are reduced to distinct (title, year, kind) and items to one row per title and
-    year before they meet. A proposal with a season but no episode looks for series.
+    Requests are reduced to distinct titles and items to the leaders of each title, type and year before they meet;
+    the leaders of the titles that match an asked one are rolled up per type and year. A proposal with a season but
+    no episode looks for series.
     """
     kind = F.when(F.col("season").isNotNull() & F.col("episode").isNull(), F.lit("Series")).otherwise(F.lit(""))
     year = F.coalesce(F.nullif("year", F.lit(0)), F.lit(-1))
-    asked = _titled(proposals.where(non_blank(F.col("name")))).select("proposal_id", "norm", year.alias("asked_year"), kind.alias("kind"))
-    titles = _leaders(_titled(scored), ["norm", "type", "production_year"]).withColumnRenamed("norm", "right")
-    pairs = title_pairs(asked.select(F.col("norm").alias("title")), titles.select(F.col("right").alias("title")))
-    requests = asked.select(F.col("norm").alias("left"), "asked_year", "kind").distinct()
+    asked = _titled(proposals.where(non_blank(F.col("name")))).select("proposal_id", F.col("norm").alias("left"), year.alias("asked_year"), kind.alias("kind"))
+    asked = cut_lineage(asked)
+    titles = _leaders(_titled(scored.where("name IS NOT NULL")), ["norm", "type", "production_year"]).withColumnRenamed("norm", "right")
+    titles = cut_lineage(titles)
+    rolled = by_matching_title(asked.select("left").distinct(), titles, ["type", "production_year"], _merge_leaders)
+    requests = asked.select("left", "asked_year", "kind").distinct()
     fits = ((F.col("asked_year") == -1) | (F.col("asked_year") == F.col("production_year"))) & (
         (F.col("kind") == "") | (F.col("kind") == F.col("type")))
-    met = requests.join(pairs, "left").join(titles, "right").where(fits)
-    sets = _merge_leaders(met, ["left", "asked_year", "kind"])
-    return spread_join(asked.withColumnRenamed("norm", "left"), sets, ["left", "asked_year", "kind"]).select("proposal_id", *SET_COLUMNS)
+    sets = _merge_leaders(requests.join(rolled, "left").where(fits), ["left", "asked_year", "kind"])
+    return spread_join(asked, sets, ["left", "asked_year", "kind"]).select("proposal_id", *SET_COLUMNS)
 
 
 def find_series_by_name(proposals: DataFrame, series: DataFrame) -> DataFrame:
     """(proposal_id, series_id) of the first series whose title matches."""
-    asked = _titled(proposals.where(non_blank(F.col("name")))).select("proposal_id", F.col("norm").alias("left"))
-    heads = _titled(series).groupBy(F.col("norm").alias("right")).agg(F.min("item_id").alias("series_id"))
-    pairs = title_pairs(asked.select(F.col("left").alias("title")), heads.select(F.col("right").alias("title")))
-    first = pairs.join(heads, "right").groupBy("left").agg(F.min("series_id").alias("series_id"))
-    return spread_join(asked, first, "left").select("proposal_id", "series_id")
+    asked = cut_lineage(_titled(proposals.where(non_blank(F.col("name")))).select("proposal_id", F.col("norm").alias("left")))
+
+    def first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.min("series_id").alias("series_id"))
+
+    heads = cut_lineage(first(_titled(series.where("name IS NOT NULL")).select(F.col("norm").alias("right"), F.col("item_id").alias("series_id")), ["right"]))
+    found = by_matching_title(asked.select("left").distinct(), heads, [], first)
+    return spread_join(asked, found, "left").select("proposal_id", "series_id")
 
 
 # ------------------------------------------------------------------------------ cascade

@@ -467,3 +467,34 @@ def test_repeated_marks_keep_one_row_per_path(spark):
     assert sorted(map(tuple, inventory.mark_status(state, marks).select("path", "status").collect())) == [
         ("a", "ignored"), ("b", "ok")]
     assert inventory.refused_marks(marks).count() == 1
+
+
+def test_components_of_long_chains_and_stars(spark):
+    """A shuffled chain of 3,000 nodes, a star of 3,000 around a middle name, and a star of stars, over many partitions."""
+    rng = random.Random(5)
+    names = rng.sample(range(100_000), 9_000)
+    chain, star, far = names[:3000], names[3000:6000], names[6000:]
+    edges = list(zip(chain, chain[1:])) + [(star[1500], n) for n in star] + [(far[i // 50], far[i]) for i in range(1, 3000)]
+    rng.shuffle(edges)
+    found = components.connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(7)).collect()
+    want = {n: min(g) for g in (chain, star, far) for n in g}
+    assert {r["item_id"]: r["component"] for r in found} == want and len(found) == len(want)
+
+
+def test_components_go_on_from_known_labels(spark):
+    old = components.connected_components(spark.createDataFrame([(5, 7), (7, 9), (1, 2)], "src long, dst long"))
+    new = spark.createDataFrame([(9, 2), (20, 21), (None, 5)], "src long, dst long")
+    found = components.connected_components(new, old).collect()
+    assert {r["item_id"]: r["component"] for r in found} == {1: 1, 2: 1, 5: 1, 7: 1, 9: 1, 20: 20, 21: 20}
+    assert components.connected_components(new.where("false")).count() == 0
+
+
+def test_a_task_keeps_few_edges_in_memory(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(500)]
+    monkeypatch.setattr(components, "EDGES_AT_ONCE", 50)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array([b for _, b in edges[i:i + 20]]), pa.array([a for a, _ in edges[i:i + 20]])], ["u", "v"])
+               for i in range(0, 500, 20)]
+    sent = list(components._contracted(iter(batches)))
+    assert len(sent) > 3 and components.forest(p for b in sent for p in zip(*(c.to_pylist() for c in b.columns))) == {i: 0 for i in range(1, 501)}
