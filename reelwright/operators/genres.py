@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelwright import constants as K
+from reelwright.constants import SNAPSHOT_TTL_SECONDS
 from reelwright.functions.util import literal_map, provider_id, string_array
+from reelwright.sources.snapshots import look_up, store_key
 
 # ------------------------------------------------------------------------ expressions
 
@@ -197,6 +200,29 @@ def provider_fallback(items: DataFrame, snapshot: DataFrame, providers: Sequence
     return rows.withColumn("external", external).drop("_media", *[f"_{n}" for n, _ in providers])
 
 
+def genre_requests(items: DataFrame, providers: Sequence[tuple[str, str]] = (("tmdb", "tmdb"), ("omdb", "imdb"))) -> DataFrame:
+    """(item_id, place, provider, external_id, media_type, namespace, key): what a keyed store is asked for an item's genres."""
+    media = F.when(F.col("type") == "Series", F.lit("tv")).otherwise(F.lit("movie"))
+    asked = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("provider"),
+                               provider_id(F.col("provider_ids"), kind).alias("external_id")) for i, (name, kind) in enumerate(providers)])
+    rows = items.select("item_id", media.alias("media_type"), F.explode(asked).alias("a")).select("item_id", "media_type", "a.*")
+    key = store_key(F.col("provider"), F.col("external_id"), F.col("media_type"))
+    return rows.withColumn("namespace", F.lit("genres")).withColumn("key", key).where("key IS NOT NULL")
+
+
+def stored_snapshot(items: DataFrame, store: DataFrame, as_of: dt.datetime | str, ttl_seconds: int = SNAPSHOT_TTL_SECONDS) -> DataFrame:
+    """The genre snapshot that ``provider_fallback`` and ``process_genres`` read, from fresh entries of a keyed store."""
+    found = look_up(genre_requests(items).drop("item_id", "place").distinct(), store, as_of, ttl_seconds).where("status = 'fresh'")
+    typed = F.when(F.col("provider") == "tmdb", F.col("media_type"))  # the other providers' ids name one title whatever its type
+    return found.select("provider", "external_id", typed.alias("media_type"), F.col("value").alias("genres")).distinct()
+
+
+def to_fetch(items: DataFrame, store: DataFrame, as_of: dt.datetime | str, ttl_seconds: int = SNAPSHOT_TTL_SECONDS) -> DataFrame:
+    """(namespace, key) of lookups that a run needs and the store has not or no longer; fresh negative entries are not asked again."""
+    asked = look_up(genre_requests(items).select("namespace", "key").distinct(), store, as_of, ttl_seconds)
+    return asked.where(F.col("status").isin("missing", "stale")).select("namespace", "key")
+
+
 def fix_genres(items: DataFrame, snapshot: DataFrame, mode: str = "gaps_only", ids: DataFrame | None = None,
                apply: bool = False) -> DataFrame:
     """Items of a run with their status and the additive merge.

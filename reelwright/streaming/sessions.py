@@ -51,5 +51,8 @@ def run_sessions(events: DataFrame, state_dir: str, checkpoint: str, emit: Emit,
     def pair(settled: DataFrame, batch_id: int) -> None:
         emit(playback_sessions(settled), batch_id)
 
+    # A stop settles its key's rows once the clock has passed it, a start at the latest when it has been held long enough.
+    held = F.col("ts") + F.expr(f"INTERVAL {hold_seconds} SECONDS")
+    due = F.when(F.col("type") == PLAYBACK_STOP, F.col("ts")).otherwise(held)
     return run_waiting(events, prepare, EVENTS, lambda rows, clock: mark_paired(rows, clock, hold_seconds), pair,
-                       state_dir, checkpoint, late_seconds, trigger)
+                       state_dir, checkpoint, late_seconds, trigger, key=["user_id", "item_id"], due=due)

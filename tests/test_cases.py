@@ -1,6 +1,7 @@
 """Small literal cases of the operators' rules."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -498,3 +499,88 @@ def test_a_task_keeps_few_edges_in_memory(spark, monkeypatch):
                for i in range(0, 500, 20)]
     sent = list(components._contracted(iter(batches)))
     assert len(sent) > 3 and components.forest(p for b in sent for p in zip(*(c.to_pylist() for c in b.columns))) == {i: 0 for i in range(1, 501)}
+
+
+# ------------------------------------------------------------------- snapshots and stores
+def test_a_broken_write_leaves_the_old_version(spark, tmp_path):
+    from reelwright.sources import snapshots
+
+    path, schema = str(tmp_path / "snapshot"), "key string, n int"
+    assert snapshots.read_snapshot(spark, path, schema).count() == 0
+    snapshots.write_snapshot(spark.createDataFrame([("a", 1), ("b", 2)], schema), path)
+
+    def breaks(batches):
+        for i, batch in enumerate(batches):
+            if i or batch.num_rows:
+                raise ValueError("lost half-way")
+            yield batch
+
+    bad = spark.createDataFrame([("c", 3)] * 10, schema).repartition(4).mapInArrow(breaks, schema)
+    with pytest.raises(Exception, match="half-way"):
+        snapshots.write_snapshot(bad, path)
+    # A version that is whole but not committed is not read either.
+    spark.createDataFrame([("d", 4)], schema).write.parquet(f"{path}/versions/99999999999999999999-x")
+    old = snapshots.read_snapshot(spark, path, schema)
+    assert sorted(map(tuple, old.collect())) == [("a", 1), ("b", 2)]
+    # The next version may read the one before, and the oldest expire.
+    for n in range(4):
+        now = snapshots.read_snapshot(spark, path, schema)
+        snapshots.write_snapshot(snapshots.merge_snapshot(now, spark.createDataFrame([("a", n), (f"k{n}", n)], schema)), path, keep=2)
+    assert sorted(map(tuple, snapshots.read_snapshot(spark, path, schema).collect())) == sorted(
+        [("a", 3), ("b", 2)] + [(f"k{n}", n) for n in range(4)])
+    assert len(snapshots.committed_versions(spark, path)) == 2
+
+
+def test_store_rewrites_only_the_buckets_it_is_given(spark, tmp_path):
+    import datetime as dt
+    import glob
+
+    from reelwright.sources import snapshots
+
+    path, at = str(tmp_path / "store"), dt.datetime(2024, 1, 1)
+    rows = [("genres", f"k{i}", ["x"], at) for i in range(300)] + [("genres", None, ["x"], at)]
+    snapshots.merge_store(path, spark.createDataFrame(rows, snapshots.STORE))
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{path}/bucket=*/*.parquet")}
+    new = [("genres", "k7", [], at + dt.timedelta(days=9)), ("genres", "k8", ["old"], at - dt.timedelta(days=9)), ("texts", "k7", None, at)]
+    snapshots.merge_store(path, spark.createDataFrame(new, snapshots.STORE))
+    left = {f for f in glob.glob(f"{path}/bucket=*/*.parquet") if before.get(f) == os.path.getmtime(f)}
+    assert len(before) - len(left) <= 3 and len(left) > 50
+    asked = spark.createDataFrame([("genres", "k7"), ("genres", "k8"), ("texts", "k7"), ("genres", "none"), ("genres", None)], "namespace string, key string")
+    got = {(r.namespace, r.key): (r.status, r.value) for r in snapshots.look_up(asked, snapshots.read_store(spark, path), "2024-01-20 00:00:00").collect()}
+    assert got == {("genres", "k7"): ("negative", None), ("genres", "k8"): ("fresh", ["x"]), ("texts", "k7"): ("negative", None),
+                   ("genres", "none"): ("missing", None), ("genres", None): ("missing", None)}
+
+
+# ------------------------------------------------------------------------- waiting rows
+def test_waiting_work_follows_new_and_settled_rows(spark, tmp_path):
+    """Many held starts; a later micro-batch of one user reads and rewrites one bucket, and pairs as ever."""
+    import datetime as dt
+
+    from reelwright.streaming import sessions, waiting
+
+    start, base = dt.datetime(2024, 1, 1), str(tmp_path)
+    schema = sessions.EVENTS
+    kind = {True: sessions.PLAYBACK_START, False: sessions.PLAYBACK_STOP}
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        out = {}
+
+        def emit(found, batch_id):
+            out[batch_id] = [tuple(r) for r in found.select("user_id", "item_id").collect()]
+
+        sessions.run_sessions(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/state", f"{base}/checkpoint", emit).awaitTermination()
+        return out
+
+    held = [(i, kind[True], start + dt.timedelta(seconds=i), f"u{i}", "m", "film") for i in range(200)]
+    assert feed(held) == {0: []}
+    first = waiting.read_manifest(spark, f"{base}/state", 0)
+    assert len(first) > 40
+    later = start + dt.timedelta(hours=1)
+    assert feed([(900, kind[False], later, "u5", "m", "film"), (901, kind[True], later + dt.timedelta(hours=2), "u5", "n", "film")]) == {1: [("u5", "m")]}
+    second = waiting.read_manifest(spark, f"{base}/state", 1)
+    rewritten = {b for b, r in second.items() if b >= 0 and r["version"] == 1}
+    assert 1 <= len(rewritten) <= 2 and all(second[b]["version"] == 0 for b in first if b >= 0 and b not in rewritten)
+    assert feed([(902, kind[True], later + dt.timedelta(hours=3), "u6", "n", "film")]) == {2: []}
+    third = waiting.read_manifest(spark, f"{base}/state", 2)
+    assert sum(r["version"] == 0 for b, r in third.items() if b >= 0) >= len(first) - 6

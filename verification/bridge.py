@@ -501,9 +501,13 @@ class Bridge:
             F.when(F.col("locked"), F.array(F.lit("Name"))).otherwise(F.array().cast("array<string>")).alias("locked_fields"),
         )
 
+    @cached_property
+    def snapshot_source(self) -> DataFrame:
+        return _spark_levels(self.table("part"), SNAPSHOT_LEVELS)
+
     @cached_property
     def genre_snapshot(self) -> DataFrame:
-        df = _spark_levels(self.table("part"), SNAPSHOT_LEVELS)
+        df = self.snapshot_source
         names = F.filter(F.array("s1", "s2"), lambda g: g.isNotNull())
         first = df.where("p % 4 <> 0").select(
             F.lit("tmdb").alias("provider"), F.col("p").cast("string").alias("external_id"),

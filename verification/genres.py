@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelwright import constants as K
 from reelwright.operators import genres as G
+from reelwright.session import checkpoint_dir
 from verification.bridge import Bridge
 from verification.registry import fragment, query
 
@@ -158,3 +161,56 @@ def _(b: Bridge):
     return G.apply_genre_update(b.genre_items, G.normalize_genres(F.col("genres"))).select(
         "item_id", _join("old_genres").alias("old_genres"), _join("new_genres").alias("new_genres"),
         _join("new_locked_fields").alias("locks"))
+
+
+# ------------------------------------------------------------------------ keyed store
+#: Entries by part: those of every third are 40 days old, every fourth is known to have no genres, and a later
+#: fetch replaces every seventh. The store is asked at the end of 2024.
+STORE_AS_OF = "2024-12-31 00:00:00"
+fragment("o_store", """SELECT *, CASE WHEN p % 7 = 0 THEN 1 WHEN p % 3 = 0 THEN 40 ELSE 5 END AS age_days,
+CASE WHEN p % 7 = 0 THEN ['Drama'] WHEN p % 4 = 0 THEN [] ELSE list_filter([s1, s2], lambda v: v IS NOT NULL) END AS names FROM b_snapshot_src WHERE p % 5 <> 1""")
+fragment("o_store_asked", """SELECT item_id, 'tmdb_' || tmdb || '_' || CASE WHEN type = 'Series' THEN 'tv' ELSE 'movie' END AS key FROM o_gx WHERE tmdb <> ''
+UNION ALL SELECT item_id, 'omdb_' || imdb FROM o_gx WHERE imdb <> ''""")
+fragment("o_store_found", """SELECT a.item_id, a.key, CASE WHEN s.key IS NULL THEN 'missing' WHEN age_days >= 30 THEN 'stale' WHEN len(names) = 0 THEN 'negative' ELSE 'fresh' END AS status, names
+FROM o_store_asked a LEFT JOIN (SELECT 'tmdb_' || p || '_' || media_type AS key, names, age_days FROM o_store) s USING (key)""")
+
+
+def _store(b: Bridge):
+    """A keyed store filled by two fetches, read back."""
+    from reelwright.sources import snapshots
+
+    path = f"{checkpoint_dir(b.spark)}/store-{uuid.uuid4().hex}"
+    source = b.snapshot_source.where("p % 5 <> 1")
+    key = snapshots.store_key(F.lit("tmdb"), F.col("p").cast("string"), F.col("media_type"))
+    names = F.when(F.col("p") % 4 == 0, F.array().cast("array<string>")).otherwise(F.filter(F.array("s1", "s2"), lambda g: g.isNotNull()))
+    day = F.to_timestamp(F.lit(STORE_AS_OF))
+    fetched = day - F.when(F.col("p") % 3 == 0, F.expr("INTERVAL 40 DAYS")).otherwise(F.expr("INTERVAL 5 DAYS"))
+    first = source.select(F.lit("genres").alias("namespace"), key.alias("key"), names.alias("value"), fetched.alias("fetched_at"))
+    later = source.where("p % 7 = 0").select(F.lit("genres").alias("namespace"), key.alias("key"), F.array(F.lit("Drama")).alias("value"),
+                                              (day - F.expr("INTERVAL 1 DAYS")).alias("fetched_at"))
+    snapshots.merge_store(path, first)
+    snapshots.merge_store(path, later)
+    snapshots.merge_store(path, later.withColumn("namespace", F.lit("texts")))  # another namespace may use the same keys
+    return snapshots.read_store(b.spark, path)
+
+
+@query("genre_store", f"SELECT item_id, key, status, CASE WHEN status = 'fresh' THEN {_J.format('names')} END AS value FROM o_store_found")
+def _(b: Bridge):
+    """Every lookup that the items' genres need, as the store answers it."""
+    from reelwright.sources.snapshots import look_up
+
+    found = look_up(G.genre_requests(b.genre_items), _store(b), STORE_AS_OF)
+    return found.select("item_id", "key", "status", _join("value").alias("value"))
+
+
+@query("genre_store_fallback", f"""SELECT DISTINCT i.item_id, coalesce({_J.format(_distinct("flatten(list_transform(list_filter(names, lambda v: v NOT IN ('TV Movie', 'TV Film', 'N/A', '')), lambda v: CASE v WHEN 'Action & Adventure' THEN ['Action', 'Adventure'] WHEN 'Sci-Fi & Fantasy' THEN ['Science Fiction', 'Fantasy'] WHEN 'War & Politics' THEN ['War'] ELSE [" + _canon('v') + "] END))"))}, '') AS external
+FROM o_gx i LEFT JOIN (SELECT * FROM o_store_found WHERE status = 'fresh' AND key LIKE 'tmdb%') f USING (item_id)""")
+def _(b: Bridge):
+    """The provider fallback over fresh entries of the store only."""
+    snapshot = G.stored_snapshot(b.genre_items, _store(b), STORE_AS_OF)
+    return G.provider_fallback(b.genre_items, snapshot).select("item_id", _join("external").alias("external"))
+
+
+@query("genre_store_fetches", "SELECT DISTINCT key FROM o_store_found WHERE status IN ('missing', 'stale')")
+def _(b: Bridge):
+    return G.to_fetch(b.genre_items, _store(b), STORE_AS_OF).select("key")

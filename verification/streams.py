@@ -10,7 +10,7 @@ from reelwright.operators.debounce import debounce_batches
 from reelwright.session import checkpoint_dir
 from reelwright.sources.catalogue import scan_playback
 from reelwright.sources.events import item_added, parse_events, route_events
-from reelwright.streaming import queue
+from reelwright.streaming import late, queue
 from reelwright.streaming.sessions import run_sessions
 from verification.bridge import Bridge
 from verification.registry import fragment, query
@@ -132,3 +132,36 @@ def _(b: Bridge):
     _feed(scan_playback(b.activity), f"{base}/in", lambda stream: run_sessions(stream, f"{base}/state", f"{base}/checkpoint", emit))
     schema = "user_id string, item_id string, event_id bigint, title string, stop_ts timestamp, duration_min double, content_type string, date string"
     return b.spark.read.schema(schema).parquet(f"{base}/out/*").withColumn("stop_ts", F.date_format("stop_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+LATE_PARTS = 4
+_SPAN = "(max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1)"
+fragment("o_arrivals", f"""SELECT event_id, ts, user_id, part + CASE WHEN event_id % 5 = 3 THEN 1 ELSE 0 END AS part FROM
+(SELECT event_id, ts, user_id, ((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {LATE_PARTS} // {_SPAN})::int AS part FROM events)
+UNION ALL SELECT event_id, ts, user_id, part + 1 FROM (SELECT event_id, ts, user_id, ((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {LATE_PARTS} // {_SPAN})::int AS part FROM events) WHERE event_id % 7 = 0""")
+fragment("o_clocks", """SELECT part + 1 AS part, max(epoch_us(max(ts))) OVER (ORDER BY part) - (SELECT (max(epoch_us(ts)) - min(epoch_us(ts))) // 1000000 // 12 * 1000000 FROM events) AS clock FROM o_arrivals GROUP BY part""")
+fragment("o_judged", """SELECT a.event_id, a.part, CASE WHEN epoch_us(ts) < clock THEN 'late' ELSE 'in time' END AS kind FROM o_arrivals a LEFT JOIN o_clocks USING (part)""")
+
+
+@query("late_rows", """SELECT event_id, 'kept' AS kind, min(part) AS part, 1::bigint AS n FROM o_judged WHERE kind = 'in time' GROUP BY event_id
+UNION ALL SELECT event_id, 'late', part, count(*) FROM o_judged WHERE kind = 'late' GROUP BY ALL
+UNION ALL SELECT event_id, 'repeated', max(part), count(*) - 1 FROM o_judged WHERE kind = 'in time' GROUP BY event_id HAVING count(*) > 1""")
+def _(b: Bridge):
+    """Events fed out of order: a fifth come one range of time later, a seventh come again; what is kept, late and repeated."""
+    base = _folder(b, "late")
+    rows = b.table("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    micros = F.unix_micros("ts")
+    low, high = rows.agg(F.min(micros), F.max(micros)).first()
+    rows = rows.withColumn("part", F.expr(f"(unix_micros(ts) - {low}) * {LATE_PARTS} div {high - low + 1}").cast("int"))
+    later = F.when(F.col("event_id") % 5 == 3, F.col("part") + 1).otherwise(F.col("part"))
+    fed = rows.withColumn("part", later).unionByName(rows.where("event_id % 7 = 0").withColumn("part", F.col("part") + 1))
+    for part in range(LATE_PARTS + 1):
+        fed.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+        stream = b.spark.readStream.schema("event_id bigint, ts timestamp, user_id bigint").parquet(f"{base}/in")
+        late.run_late(stream, ["event_id"], f"{base}/out", f"{base}/checkpoint", (high - low) // 1_000_000 // 12).awaitTermination()
+
+    def table(kind: str, n):
+        found = b.spark.read.option("basePath", f"{base}/out/{kind}").parquet(f"{base}/out/{kind}/*")
+        return found.groupBy("event_id", F.lit(kind).alias("kind"), F.col("batch").cast("int").alias("part")).agg(n.cast("bigint").alias("n"))
+
+    return table("kept", F.count("*")).unionByName(table("late", F.count("*"))).unionByName(table("repeated", F.sum("n")))
