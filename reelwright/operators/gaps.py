@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright.functions.display import display_name_year
@@ -60,6 +60,49 @@ def missing_union(*libraries: DataFrame) -> DataFrame:
     return merged
 
 
+def sequence_gaps(episodes: DataFrame) -> DataFrame:
+    """(series_id, season, first_episode, last_episode): runs of numbers that a season leaves out below its last episode.
+
+    ``episode_end``, if there is such a column, is the last number of a file with several episodes. Specials, season 0
+    and episode 0, and rows without numbers are left out. Runs are not listed number by number: an episode that is
+    numbered by its date leaves one long run. A window holds the different numbers of one season.
+    """
+    end = F.col("episode_end") if "episode_end" in episodes.columns else F.col("episode")
+    spans = episodes.where("season > 0 AND episode > 0").select(
+        "series_id", "season", F.col("episode").alias("lo"), F.greatest(F.col("episode"), end).alias("hi")).distinct()
+    before = Window.partitionBy("series_id", "season").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
+    reached = spans.withColumn("reached", F.coalesce(F.max("hi").over(before), F.lit(0)))
+    return reached.where("lo > reached + 1").select(
+        "series_id", "season", (F.col("reached") + 1).cast("int").alias("first_episode"), (F.col("lo") - 1).cast("int").alias("last_episode"))
+
+
+def missing_scan(sources: Sequence[tuple[str, DataFrame, DataFrame]], episodes: DataFrame, series: DataFrame) -> DataFrame:
+    """Missing episodes of all libraries, each settled by the first source that answers for it, else by its series' numbers.
+
+    ``sources`` are (name, listed episodes with a ``library``, libraries that the source answered for), best first; a
+    source may answer with no episodes, which settles the library all the same. Rows are runs of episodes, tagged with the
+    series' names and the source; specials are left out. A series without a library belongs to none that is answered for.
+    """
+    answers = None
+    for place, (_, _, libraries) in enumerate(sources):
+        own = libraries.select("library", F.lit(place).alias("place"))
+        answers = own if answers is None else answers.unionByName(own)
+    titles = series_titles(series)
+    heads = series.select(F.col("item_id").alias("series_id"), F.col("library"))
+    found = sequence_gaps(episodes).join(heads, "series_id").withColumn("source", F.lit("sequence"))
+    columns = ["library", "series_id", "season", "first_episode", "last_episode", "source"]
+    if answers is not None:
+        settled = answers.where("library IS NOT NULL").groupBy("library").agg(F.min("place").alias("place"))
+        found = found.join(settled, "library", "left_anti").select(*columns)
+        for place, (name, listed, _) in enumerate(sources):
+            rows = listed.where("season > 0 AND episode > 0").join(settled.where(F.col("place") == place).select("library"), "library", "left_semi")
+            number = F.col("episode").cast("int")
+            found = found.unionByName(rows.select("library", "series_id", "season", number.alias("first_episode"), number.alias("last_episode"),
+                                                  F.lit(name).alias("source")))
+    named = found.select(*columns).join(titles, "series_id", "left")
+    return named.withColumns({c: F.coalesce(c, F.lit(UNKNOWN_SERIES)) for c in ("series_name", "original_series_name")})
+
+
 def missing_dedupe(missing: DataFrame) -> DataFrame:
     """One row per series name, season and episode: the first by air date, then id."""
     filled = missing.withColumns({

@@ -580,7 +580,23 @@ def test_waiting_work_follows_new_and_settled_rows(spark, tmp_path):
     assert feed([(900, kind[False], later, "u5", "m", "film"), (901, kind[True], later + dt.timedelta(hours=2), "u5", "n", "film")]) == {1: [("u5", "m")]}
     second = waiting.read_manifest(spark, f"{base}/state", 1)
     rewritten = {b for b, r in second.items() if b >= 0 and r["version"] == 1}
-    assert 1 <= len(rewritten) <= 2 and all(second[b]["version"] == 0 for b in first if b >= 0 and b not in rewritten)
+    assert 1 <= len(rewritten) <= 2 and all(second[b]["version"] == 0 for b in second if b >= 0 and b not in rewritten)
     assert feed([(902, kind[True], later + dt.timedelta(hours=3), "u6", "n", "film")]) == {2: []}
     third = waiting.read_manifest(spark, f"{base}/state", 2)
     assert sum(r["version"] == 0 for b, r in third.items() if b >= 0) >= len(first) - 6
+
+
+def test_sequence_gaps_and_ordered_sources(spark):
+    from reelwright.operators import gaps
+
+    series = spark.createDataFrame([("a", "A", "one"), ("b", "B", "two"), ("c", None, "three"), ("d", "D", None)], "item_id string, name string, library string").withColumns(
+        {"original_title": F.lit(None).cast("string"), "sort_name": F.lit("")})
+    rows = [(s, 1, e, None) for s in "abcd" for e in (2, 5, 5, 9)] + [("d", 1, 3, 4), ("d", 2, 20240101, None), ("d", 0, 7, None), ("d", 3, None, None), ("d", 2, 0, None)]
+    episodes = spark.createDataFrame(rows, "series_id string, season int, episode int, episode_end int")
+    listed = spark.createDataFrame([("one", "a", 1, 4), ("one", "x", 0, 4), ("two", "b", 1, 8), (None, "d", 1, 1)], "library string, series_id string, season int, episode int")
+    libraries = lambda *n: spark.createDataFrame([(x,) for x in n], "library string")
+    found = gaps.missing_scan([("first", listed, libraries("one", None)), ("second", listed.where("false"), libraries("one", "two"))], episodes, series)
+    got = sorted((r.series_id, r.season, r.first_episode, r.last_episode, r.source, r.series_name) for r in found.collect())
+    assert got == [("a", 1, 4, 4, "first", "A")] + [("c", 1, x, y, "sequence", "Unknown Series") for x, y in ((1, 1), (3, 4), (6, 8))] + [
+        ("d", 1, 1, 1, "sequence", "D"), ("d", 1, 6, 8, "sequence", "D"), ("d", 2, 1, 20240100, "sequence", "D")]
+    assert gaps.missing_scan([], episodes.where("false"), series).count() == 0

@@ -180,3 +180,19 @@ def _(b: Bridge):
 def _(b: Bridge):
     return G.overview_totals(b.items.where("type = 'Movie'"), b.series, _complete(b),
                              G.franchise_counts(b.collection_parts, b.owned_movies, 2026), G.popular_missing(b.popular, b.owned_movies))
+
+
+#: Two sources: the first answers for Lib 1, the second for Lib 1 and, with nothing, for Lib 2; other libraries are settled by numbers.
+@query("missing_scan", """WITH present AS (SELECT DISTINCT series_id, season, episode AS lo, episode + season % 2 AS hi FROM o_lack WHERE season > 0 AND episode > 0),
+reached AS (SELECT *, coalesce(max(hi) OVER (PARTITION BY series_id, season ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM present),
+runs AS (SELECT s.library, r.series_id, season, reached + 1 AS first_episode, lo - 1 AS last_episode, 'sequence' AS source FROM reached r JOIN b_series s ON s.item_id = r.series_id
+WHERE lo > reached + 1 AND coalesce(s.library, '') NOT IN ('Lib 1', 'Lib 2')
+UNION ALL SELECT library, series_id, season, episode, episode, 'listed' FROM b_missing WHERE library = 'Lib 1' AND season > 0 AND episode > 0)
+SELECT r.library, r.series_id, season, first_episode, last_episode, source, coalesce(s.name, 'Unknown Series') AS series_name,
+CASE WHEN s.item_id IS NULL THEN 'Unknown Series' WHEN original_title IS NOT NULL THEN original_title WHEN sort_name IS NOT NULL THEN sort_name ELSE coalesce(s.name, 'Unknown Series') END AS original_series_name
+FROM runs r LEFT JOIN b_series s ON s.item_id = r.series_id""")
+def _(b: Bridge):
+    present = _lack(b).withColumn("episode_end", F.col("episode") + F.col("season") % 2)
+    libraries = lambda *names: b.spark.createDataFrame([(n,) for n in names], "library string")
+    sources = [("listed", b.missing, libraries("Lib 1")), ("listed again", b.missing.where("library = 'Lib 1'"), libraries("Lib 1", "Lib 2"))]
+    return G.missing_scan(sources, present, b.series)
