@@ -6,9 +6,12 @@ ASCII characters other than letters taken as one space, n-grams of two to four b
 Per language several centroids are fitted by spherical k-means. A text gets the language of the
 centroid with the highest cosine, which is also its score.
 
-Rejection goes by distance: each language has a radius, the distance within which all
-of its training rows lie, widened until a cosine is a quarter of theirs. A text farther from every
-centroid than its winner's radius is ``rejected``; it keeps its prediction.
+Rejection goes by distance: a text farther from every centroid than its winner's radius is
+``rejected``; it keeps its prediction. Radii are learned from rows that the centroids have not seen,
+one for each language and length, as short texts lie farther off: pieces of 8, 16, 32 bytes and so on
+of the rows left out, the cosine that a tenth of them stay below, and ``RADIUS_PART`` of that cosine
+as the least one kept. A text goes by the longest piece that is no longer than itself. Texts of under
+8 bytes, and languages of fewer than ``LEAST_ROWS`` fitted rows, have no radius.
 
 The fit uses at most ``PER_LANGUAGE`` rows of each language, those with the least hash of their
 text, and reads them whole. Everything else covers all rows. The model is a matrix of a few hundred
@@ -37,6 +40,12 @@ SIZES = (2, 3, 4)
 PER_LANGUAGE = 300
 CENTROIDS = 4
 UNKNOWN = "und"
+LEFT_OUT = 5  # one fitted row in so many sets the radii, not the centroids
+LEAST_ROWS = 20
+PIECE_SIZES = tuple(1 << k for k in range(3, 13))
+PIECES = 3  # of a size, per row left out
+LOW_QUANTILE = 0.1
+RADIUS_PART = 0.5
 ROWS_AT_ONCE = 128
 BYTES_AT_ONCE = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -97,7 +106,7 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages of the centroids, the centroids, the IDF weights, the least cosine not rejected."""
+    """Languages of the centroids, the centroids, the IDF weights, the least cosine not rejected by centroid and length."""
 
     langs: tuple[str, ...]
     centroids: np.ndarray
@@ -114,6 +123,11 @@ class Model:
         best = np.argmax(cosines, axis=1)
         return best, np.clip(cosines[np.arange(len(texts)), best], 0.0, 1.0)
 
+    def least_for(self, texts: list[bytes], best: np.ndarray) -> np.ndarray:
+        """The least cosine that keeps each text: by its winner and its length."""
+        place = np.searchsorted(PIECE_SIZES, [len(t) for t in texts], side="right")
+        return self.least[best, place]
+
 
 def _clusters(v: np.ndarray, k: int) -> np.ndarray:
     """Spherical k-means from farthest-first seeds."""
@@ -128,6 +142,25 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _pieces(text: bytes, h: int) -> list[tuple[int, bytes]]:
+    """(place of the size, piece): up to ``PIECES`` of each size, from starts that the hash sets."""
+    found = []
+    for place, size in enumerate(PIECE_SIZES, 1):
+        room = len(text) - size + 1
+        starts = {(h * (2 * j + 1) + j * size) % room for j in range(PIECES)} if room > 0 else ()
+        found += [(place, text[s:s + size]) for s in sorted(starts)]
+    return found
+
+
+def _least_cosines(vectors: np.ndarray, places: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The least cosine kept, by length; a longer text is never let off with less than a shorter one."""
+    least = np.zeros(len(PIECE_SIZES) + 1, np.float32)
+    for place in set(places.tolist()):
+        nearest = (vectors[places == place] @ centroids.T).max(1)
+        least[place] = RADIUS_PART * np.quantile(nearest, LOW_QUANTILE)
+    return np.maximum.accumulate(least)
+
+
 def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE,
         centroids: int = CENTROIDS) -> Model:
     """Fit on at most ``per_language`` rows of each language; only their n-gram counts reach the driver."""
@@ -140,31 +173,39 @@ def fit(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lan
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                counts = gram_counts([t.as_py() for t in part.column(2)])
-                packed = [np.minimum(c, 65535).astype("<u2").tobytes() for c in counts]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(packed, pa.binary())], ["lang", "h", "counts"])
+            for lang, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = [(0, text)] + (_pieces(text, h) if h % LEFT_OUT == 0 else [])
+                counts = gram_counts([t for _, t in parts])
+                cells = [np.flatnonzero(c) for c in counts]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(parts)), pa.array([h] * len(parts), pa.int64()), pa.array([p for p, _ in parts], pa.int32()),
+                    pa.array([i.astype("<u2").tobytes() for i in cells], pa.binary()),
+                    pa.array([c[i].astype("<f4").tobytes() for c, i in zip(counts, cells)], pa.binary()),
+                ], ["lang", "h", "place", "cells", "counts"])
 
     counted = sample.select("lang", "h", F.col("text").cast("binary").alias("text")).mapInArrow(
-        of_batches, "lang string, h long, counts binary")
-    got = sorted({(r.lang, r.h): r.counts for r in counted.toLocalIterator()}.items())
+        of_batches, "lang string, h long, place int, cells binary, counts binary")
+    got = sorted({tuple(r) for r in counted.toLocalIterator()})
     if not got:
-        return Model((), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0, np.float32))
-    counts = np.array([np.frombuffer(c, "<u2") for _, c in got], np.float32)
-    owner = np.array([lang for (lang, _), _ in got])
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    draft = Model((), np.zeros((0, DIMS)), idf, np.zeros(0))
-    vectors = draft.vectors(counts)
+        return Model((), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros((0, len(PIECE_SIZES) + 1), np.float32))
+    counts = np.zeros((len(got), DIMS), np.float32)
+    for row, (_, _, _, cells, values) in zip(counts, got):
+        row[np.frombuffer(cells, "<u2")] = np.frombuffer(values, "<f4")
+    owner = np.array([r[0] for r in got])
+    place = np.array([r[2] for r in got])
+    names, sizes = np.unique(owner[place == 0], return_counts=True)
+    large = np.isin(owner, names[sizes >= LEAST_ROWS])
+    left_out = large & (np.array([r[1] for r in got]) % LEFT_OUT == 0)
+    fitted = ~left_out & (place == 0)
+    idf = np.log((1 + fitted.sum()) / (1 + (counts[fitted] > 0).sum(0))).astype(np.float32) + 1
+    vectors = Model((), np.zeros((0, DIMS)), idf, np.zeros(0)).vectors(counts)
     langs, all_centroids, least = [], [], []
-    for lang in sorted(set(owner.tolist())):
-        own = vectors[owner == lang]
-        c = _clusters(own, centroids)
-        nearest = float((own @ c.T).max(1).min())
+    for lang in names[np.isin(names, owner[fitted])].tolist():
+        c = _clusters(vectors[fitted & (owner == lang)], centroids)
+        pieces = left_out & (owner == lang) & (place > 0)
         langs += [lang] * len(c)
         all_centroids.append(c)
-        least += [nearest / 4] * len(c)
+        least += [_least_cosines(vectors[pieces], place[pieces], c)] * len(c)
     return Model(tuple(langs), np.concatenate(all_centroids).astype(np.float32), idf, np.array(least, np.float32))
 
 
@@ -188,8 +229,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[C
                 langs, scores, far = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 rows = np.flatnonzero(lettered)
                 if len(rows):
-                    best, cosine = model.predict([texts[i].encode() for i in rows])
-                    scores[rows], far[rows] = cosine, cosine < model.least[best]
+                    lettered_texts = [texts[i].encode() for i in rows]
+                    best, cosine = model.predict(lettered_texts)
+                    scores[rows], far[rows] = cosine, cosine < model.least_for(lettered_texts, best)
                     for i, b in zip(rows.tolist(), best.tolist()):
                         langs[i] = model.langs[b]
                 yield pa.RecordBatch.from_arrays(

@@ -139,7 +139,53 @@ def test_language(spark, docs, no_docs):
     assert [r.lang_pred for r in odd if r.c0 in (4, 5, 7)] == ["und"] * 3 and all(0 <= r.cosine <= 1 for r in odd)
     assert language.identify(no_docs, language.fit(no_docs)).count() == 0
     kept = language.without_rejected(docs, model)
-    assert kept.columns == docs.columns and kept.count() == len(odd) - 3
+    assert kept.columns == docs.columns
+    # A few sentences over and over lie far from the table's prose; what stays is what lies within its winner's radius.
+    inside = collections.Counter()
+    for r in docs.collect():
+        if language.has_letter(r.text):
+            best, cosine = model.predict([r.text.encode()])
+            size = sum(len(r.text.encode()) >= s for s in language.PIECE_SIZES)
+            inside[r.doc_id] += int(cosine[0] >= model.least[best[0], size])
+    assert collections.Counter(r.doc_id for r in kept.collect()) == +inside and 0 < inside.total() < len(odd) - 3
+
+
+FOREIGN = {
+    "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i "
+              "sumieniem i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa",
+    "finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+               "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin",
+    "russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и "
+               "должны поступать в отношении друг друга в духе братства. Каждый человек должен обладать",
+    "keys": "xkcd qwrtp zzzpl mnbvc 234 lkjh gfdsa qpwo eiru tyal skdj fhgz mxnc bvqw ertz uiop asdf ghjk lyxc vbnm",
+    "numbers": "a 123 456 b 789 c 11 22 d 99 88 k 1 2 3 " * 20,
+}
+
+
+def test_language_rejects_what_it_has_not_learned(spark):
+    """Foreign and junk texts go, clean texts of every length stay; radii come from rows the centroids have not seen."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(table)
+    assert model.least.shape == (len(model.langs), len(language.PIECE_SIZES) + 1)
+    assert (np.diff(model.least, axis=1) >= 0).all() and (model.least[:, 1:] > 0).all()
+    odd = spark.createDataFrame([(k, t * n) for k, t in FOREIGN.items() for n in (3, 30)], "k string, text string")
+    assert {(r.k, r.rejected) for r in language.identify(odd, model).collect()} == {(k, True) for k in FOREIGN}
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1")
+    clean = table.join(good, "doc_id")
+    assert clean.count() > 300 and language.identify(clean, model).where("rejected").count() == 0
+    words = clean.where("lang is not null").selectExpr("doc_id", "lang", "substring_index(text, ' ', 6) AS text", "'x' AS rejected")
+    short = language.identify(words, model).toDF("doc_id", "lang", "text", "theirs", "lang_pred", "score", "rejected")
+    assert short.where("rejected").count() <= 0.03 * words.count()
+    few = language.fit(table.where("lang = 'fr'").limit(10))
+    assert len(few.langs) and not few.least.any()
+
+
+def test_language_counts_are_not_clipped(spark):
+    text = "la " * 80000
+    rows = spark.createDataFrame([("fr", text), ("fr", "une autre phrase"), ("en", "some other words")], "lang string, text string")
+    model = language.fit(rows, centroids=2)
+    own = model.vectors(language.gram_counts([text.encode()])) @ model.centroids.T
+    assert own.max() > 0.999
 
 
 def test_toxicity(spark, docs, no_docs):
