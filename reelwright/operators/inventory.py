@@ -28,20 +28,28 @@ def derive_status(profile: Column, previous: Column) -> Column:
     )
 
 
-def inventory_diff(state: DataFrame, scan: DataFrame, full: bool = False) -> DataFrame:
-    """Every path of either side with its change: new, changed, unchanged or deleted.
+def compared(state: DataFrame, scan: DataFrame, full: bool = False) -> DataFrame:
+    """Every path of either side with ``change``: the scan's columns, and the state's as ``old_`` ones.
 
-    ``full`` treats known files as changed, so that they are probed again.
+    One join, so that a state that is bucketed by path is not shuffled. ``full`` treats known files as changed, so that
+    they are probed again.
     """
-    old = state.select("path", F.col("size").alias("old_size"), F.col("mtime").alias("old_mtime"), F.lit(True).alias("_old"))
-    new = scan.select("path", "size", "mtime", F.lit(True).alias("_new"))
+    kept = {"path": "_old", "size": "old_size", "mtime": "old_mtime", "dv_profile": "old_profile", "status": "old_status",
+            "first_seen": "old_first_seen", "fail_count": "old_fail_count"}
+    old = state.select(*[F.col(c).alias(n) for c, n in kept.items()])
     same = (F.col("size") == F.col("old_size")) & (
         F.abs(F.coalesce("old_mtime", F.lit(0.0)) - F.col("mtime")) < K.MTIME_TOLERANCE)
     change = (
-        F.when(F.col("_new").isNull(), "deleted").when(F.col("_old").isNull(), "new")
+        F.when(F.col("path").isNull(), "deleted").when(F.col("_old").isNull(), "new")
         .when(F.coalesce(same, F.lit(False)) & F.lit(not full), "unchanged").otherwise("changed")
     )
-    return old.join(new, "path", "full_outer").withColumn("change", change).drop("_old", "_new")
+    both = old.join(scan, F.col("_old") == F.col("path"), "full_outer").withColumn("change", change)
+    return both.withColumn("path", F.coalesce("path", "_old")).drop("_old")
+
+
+def inventory_diff(state: DataFrame, scan: DataFrame, full: bool = False) -> DataFrame:
+    """Every path of either side with its change: new, changed, unchanged or deleted."""
+    return compared(state, scan.select("path", "size", "mtime"), full).select("path", "old_size", "old_mtime", "size", "mtime", "change")
 
 
 def inventory_upsert(state: DataFrame, scan: DataFrame, now: dt.datetime | str, full: bool = False) -> DataFrame:
@@ -51,13 +59,7 @@ def inventory_upsert(state: DataFrame, scan: DataFrame, now: dt.datetime | str,
     only where the file is new or changed.
     """
     at = F.lit(str(now)).cast("timestamp")
-    probed = scan.select("path", "side_data")
-    changes = inventory_diff(state, scan, full).where("change <> 'deleted'")
-    kept = state.select(
-        "path", F.col("dv_profile").alias("old_profile"), F.col("status").alias("old_status"),
-        F.col("first_seen").alias("old_first_seen"), F.col("fail_count").alias("old_fail_count"),
-    )
-    rows = changes.join(probed, "path").join(kept, "path", "left")
+    rows = compared(state, scan.select("path", "size", "mtime", "side_data"), full).where("change <> 'deleted'")
     touched = F.col("change") == "unchanged"
     profile = F.when(touched, F.col("old_profile")).otherwise(dv_profile(F.col("side_data")))
     rows = rows.withColumn("dv_profile", profile)

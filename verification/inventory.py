@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reelwright.operators import inventory as I
+from reelwright.session import shared_folder
 from reelwright.sources import catalogue as C
+from reelwright.sources.inventory_log import InventoryLog
 from verification.bridge import Bridge
 from verification.registry import fragment, query
 
@@ -95,6 +99,87 @@ def _(b: Bridge):
     return I.mark_status(b.inventory_state, marks).select("path", "status")
 
 
+# ------------------------------------------------------------------ log of several runs
+# Three scans with a round of marks between the first two; the third finds some files repaired and others back again.
+RUN_TIMES = ("2023-05-01 00:00:00", "2023-06-01 00:00:00", "2023-07-01 00:00:00")
+MARK_TIME = "2023-05-15 00:00:00"
+_SCANS = (
+    ("d % 7 <> 0", "prev_size", "prev_mtime", "dv_profile"),
+    ("d % 5 <> 0", "cur_size", "cur_mtime", "dv_profile"),
+    ("(d % 3 <> 0 OR d % 2 = 0)", "cur_size + CASE WHEN d % 17 = 0 OR d % 18 = 0 THEN 5 ELSE 0 END", "cur_mtime", "CASE WHEN d % 18 <> 0 THEN dv_profile END"),
+)
+
+
+def _status(profile: str, marked: str = "false") -> str:
+    return f"CASE WHEN {marked} THEN 'ignored' WHEN {profile} = 5 THEN 'needs_rebuild' ELSE 'ok' END"
+
+
+fragment("o_runs", f"""SELECT *, d % 7 <> 0 AS p1, d % 5 <> 0 AS p2, d % 3 <> 0 OR d % 2 = 0 AS p3, d % 11 = 0 OR d % 13 = 0 AS c2, d % 17 = 0 OR d % 18 = 0 AS c3, d % 7 <> 0 AND d % 23 = 0 AS marked,
+{_SCANS[2][1]} AS size3, CASE WHEN d % 18 <> 0 THEN dv_profile END AS profile3 FROM b_inventory""")
+fragment("o_log", f"""SELECT path, prev_size AS size, dv_profile, {_status('dv_profile')} AS status, 'new' AS change, TIMESTAMP '{RUN_TIMES[0]}' AS run_at, TIMESTAMP '{RUN_TIMES[0]}' AS first_seen,
+NULL AS old_status, NULL::int AS old_profile, NULL::bigint AS old_size FROM o_runs WHERE p1
+UNION ALL SELECT path, prev_size, dv_profile, 'ignored', 'marked', TIMESTAMP '{MARK_TIME}', TIMESTAMP '{RUN_TIMES[0]}', {_status('dv_profile')}, dv_profile, prev_size FROM o_runs WHERE marked
+UNION ALL SELECT path, cur_size, dv_profile, {_status('dv_profile', 'marked')}, CASE WHEN p1 THEN 'changed' ELSE 'new' END, TIMESTAMP '{RUN_TIMES[1]}', CASE WHEN p1 THEN TIMESTAMP '{RUN_TIMES[0]}' ELSE TIMESTAMP '{RUN_TIMES[1]}' END,
+CASE WHEN p1 THEN {_status('dv_profile', 'marked')} END, CASE WHEN p1 THEN dv_profile END, CASE WHEN p1 THEN prev_size END FROM o_runs WHERE p2 AND (NOT p1 OR c2)
+UNION ALL SELECT path, NULL, NULL, NULL, 'deleted', TIMESTAMP '{RUN_TIMES[1]}', TIMESTAMP '{RUN_TIMES[0]}', {_status('dv_profile', 'marked')}, dv_profile, prev_size FROM o_runs WHERE p1 AND NOT p2
+UNION ALL SELECT path, size3, profile3, {_status('profile3', 'p2 AND marked')}, CASE WHEN p2 THEN 'changed' ELSE 'new' END, TIMESTAMP '{RUN_TIMES[2]}',
+CASE WHEN p2 AND p1 THEN TIMESTAMP '{RUN_TIMES[0]}' WHEN p2 THEN TIMESTAMP '{RUN_TIMES[1]}' ELSE TIMESTAMP '{RUN_TIMES[2]}' END,
+CASE WHEN p2 THEN {_status('dv_profile', 'marked')} END, CASE WHEN p2 THEN dv_profile END, CASE WHEN p2 THEN cur_size END FROM o_runs WHERE p3 AND (NOT p2 OR c3)
+UNION ALL SELECT path, NULL, NULL, NULL, 'deleted', TIMESTAMP '{RUN_TIMES[2]}', CASE WHEN p1 THEN TIMESTAMP '{RUN_TIMES[0]}' ELSE TIMESTAMP '{RUN_TIMES[1]}' END,
+{_status('dv_profile', 'marked')}, dv_profile, cur_size FROM o_runs WHERE p2 AND NOT p3""")
+fragment("o_asof", f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY run_at DESC) AS nth FROM o_log WHERE run_at <= TIMESTAMP '{RUN_TIMES[1]}') WHERE nth = 1 AND change <> 'deleted'""")
+
+
+def run_scan(b: Bridge, n: int):
+    """The files that the n-th run finds."""
+    there, size, mtime, profile = _SCANS[n]
+    side = f"CASE WHEN {profile} IS NULL THEN array() ELSE array(named_struct('dv_profile', cast({profile} as int))) END"
+    return b._inventory.where(there).selectExpr("path", f"{size} AS size", f"{mtime} AS mtime", f"{side} AS side_data")
+
+
+def _log(b: Bridge) -> InventoryLog:
+    name = f"inventory_{uuid.uuid4().hex}"
+    log = InventoryLog(b.spark, name, shared_folder(b.spark, name), 8).create()
+    log.record(run_scan(b, 0), RUN_TIMES[0])
+    log.mark(b._inventory.where("d % 23 = 0").selectExpr("path", "'ignored' AS status"), MARK_TIME)
+    for n in (1, 2):
+        log.record(run_scan(b, n), RUN_TIMES[n])
+    return log
+
+
+def _day(column: str):
+    return F.date_format(column, "yyyy-MM-dd").alias(column)
+
+
+@query("inventory_history", """SELECT path, size, dv_profile, status, change, strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(run_at, '%Y-%m-%d') AS valid_from, strftime(valid_to, '%Y-%m-%d') AS valid_to
+FROM (SELECT *, lead(run_at) OVER (PARTITION BY path ORDER BY run_at) AS valid_to FROM o_log) WHERE change <> 'deleted'""")
+def _(b: Bridge):
+    return _log(b).history().select("path", "size", "dv_profile", "status", "change", _day("first_seen"), _day("valid_from"), _day("valid_to"))
+
+
+@query("inventory_as_of", f"SELECT path, size, dv_profile, status, strftime(first_seen, '%Y-%m-%d') AS first_seen, '{RUN_TIMES[1][:10]}' AS last_checked FROM o_asof")
+def _(b: Bridge):
+    return _log(b).as_of(RUN_TIMES[1]).select("path", "size", "dv_profile", "status", _day("first_seen"), _day("last_checked"))
+
+
+@query("inventory_removed", """SELECT path, old_size AS size, old_profile IS NOT NULL AS is_dv, coalesce(old_profile = 5, false) AS problematic, old_status AS last_status, strftime(first_seen, '%Y-%m-%d') AS first_seen,
+strftime(run_at, '%Y-%m-%d') AS removed_at FROM o_log WHERE change = 'deleted'""")
+def _(b: Bridge):
+    return _log(b).removed().select("path", "size", "is_dv", "problematic", "last_status", _day("first_seen"), _day("removed_at"))
+
+
+@query("inventory_resolved", "SELECT path, strftime(run_at, '%Y-%m-%d') AS resolved_at FROM o_log WHERE change IN ('new', 'changed') AND old_status = 'needs_rebuild' AND coalesce(dv_profile <> 5, true)")
+def _(b: Bridge):
+    return _log(b).resolved().select("path", _day("resolved_at"))
+
+
+@query("inventory_runs", """SELECT strftime(r.run_at, '%Y-%m-%d') AS run_at, (SELECT sum(CASE change WHEN 'new' THEN 1 WHEN 'deleted' THEN -1 ELSE 0 END)::bigint FROM o_log l WHERE l.run_at <= r.run_at) AS total,
+new + changed AS probed, new, changed, deleted, (SELECT count(*) FROM (SELECT dv_profile, status, row_number() OVER (PARTITION BY path ORDER BY run_at DESC) AS nth FROM o_log l WHERE l.run_at <= r.run_at) WHERE nth = 1 AND dv_profile = 5 AND status = 'needs_rebuild') AS problematic
+FROM (SELECT run_at, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'changed') AS changed, count(*) FILTER (change = 'deleted') AS deleted FROM o_log WHERE change <> 'marked' GROUP BY 1) r""")
+def _(b: Bridge):
+    return _log(b).last_runs().select(_day("run_at"), "total", "probed", "new", "changed", "deleted", "problematic")
+
+
 # ---------------------------------------------------------------------- catalogue scans
 @query("scan_items", "SELECT item_id, name, path, library FROM b_items WHERE type = 'Movie' AND library IN ('Lib 1', 'Lib 2')")
 def _(b: Bridge):
