@@ -7,23 +7,15 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelwright import constants as K
 from reelwright.functions.dates import days_since
 from reelwright.functions.streams import first_stream
-from reelwright.functions.util import contains_any, first_non_blank, non_blank
+from reelwright.functions.util import first_non_blank, non_blank
+from reelwright.operators.folders import with_library
 from reelwright.operators.grouping import counts_with_range, joined_top
 
 NO_GENRE = "(No genre)"
 
 
-def guess_library(path: Column) -> Column:
-    """Library name by folder markers in the path."""
-    expr = F
-    for markers, name in K.LIBRARY_BY_PATH:
-        expr = expr.when(contains_any(path, markers), F.lit(name))
-    return expr.otherwise(F.lit("Other"))
-
-
 def played_items(user_data: DataFrame) -> DataFrame:
     """Distinct items that any user played."""
     return user_data.where("played").select("item_id").distinct()
@@ -42,7 +34,6 @@ def _common_facts(as_of: dt.date | str) -> dict[str, Column]:
         "days": F.coalesce(days_since(F.col("date_created"), as_of), F.lit(0)),
         "genres_text": F.when(F.size(genres) > 0, F.array_join(genres, ", ")).otherwise(F.lit(NO_GENRE)),
         "primary_genre": F.coalesce(F.get(genres, F.lit(0)), F.lit(NO_GENRE)),
-        "guessed_library": guess_library(F.col("path")),
     }
 
 
@@ -50,24 +41,25 @@ def size_gb(size: Column) -> Column:
     return F.bround(size / F.lit(float(1024**3)), 2)
 
 
-def movie_facts(movies: DataFrame, played: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """One row per movie: size, language, age in days, decade, genre, library, played."""
+def movie_facts(movies: DataFrame, played: DataFrame, rules: DataFrame, as_of: dt.date | str) -> DataFrame:
+    """One row per movie: size, language, age in days, decade, genre, library by the folder ``rules``, played."""
     audio = first_stream(F.col("media_streams"), "Audio")
     year = F.nullif("production_year", F.lit(0))
     size = F.coalesce("size", F.lit(0))
-    facts = movies.select(
+    facts = with_library(movies, rules).select(
         "item_id", "name", F.coalesce(year, F.lit(0)).alias("year"),
         F.coalesce(F.concat((F.floor(year / 10) * 10).cast("string"), F.lit("s")), F.lit("Unknown")).alias("decade"),
         F.coalesce(first_non_blank(audio["display_language"], audio["language"]), F.lit("Unknown")).alias("language"),
-        size.alias("size"), size_gb(size).alias("size_gb"), "path",
+        size.alias("size"), size_gb(size).alias("size_gb"), "path", "guessed_library",
         *[c.alias(n) for n, c in _common_facts(as_of).items()],
     )
     flags = played.select("item_id").withColumn("_played", F.lit(True))
     return facts.join(flags, "item_id", "left").withColumn("played", F.coalesce("_played", F.lit(False))).drop("_played")
 
 
-def series_facts(series: DataFrame, episodes: DataFrame, user_data: DataFrame, users: DataFrame, as_of: dt.date | str) -> DataFrame:
-    """One row per series: episodes, played episodes, share, watchers, age in days."""
+def series_facts(series: DataFrame, episodes: DataFrame, user_data: DataFrame, users: DataFrame, rules: DataFrame,
+                 as_of: dt.date | str) -> DataFrame:
+    """One row per series: episodes, played episodes, share, watchers, age in days, library by the folder ``rules``."""
     flags = played_items(user_data).withColumn("_played", F.lit(True))
     counts = (
         episodes.where(non_blank(F.col("series_id"))).select("item_id", "series_id").join(flags, "item_id", "left")
@@ -79,14 +71,14 @@ def series_facts(series: DataFrame, episodes: DataFrame, user_data: DataFrame, u
     n_watchers = watchers.groupBy("series_id").agg(F.count("*").alias("n_watchers"))
     total, played_n = F.coalesce("total", F.lit(0)), F.coalesce("played_n", F.lit(0))
     share = F.coalesce(F.bround(played_n / F.nullif(total, F.lit(0)) * 100, 1), F.lit(0.0))
-    rows = series.withColumn("series_id", F.col("item_id"))
+    rows = with_library(series, rules).withColumn("series_id", F.col("item_id"))
     for side in (counts, names, n_watchers):
         rows = rows.join(side, "series_id", "left")
     return rows.select(
         "item_id", "name", F.coalesce("production_year", F.lit(0)).alias("year"),
         total.alias("total_episodes"), played_n.alias("played_episodes"), share.alias("pct_watched"),
         (played_n > 0).alias("played"), F.coalesce("watchers", F.lit("")).alias("watchers"),
-        F.coalesce("n_watchers", F.lit(0)).alias("n_watchers"),
+        F.coalesce("n_watchers", F.lit(0)).alias("n_watchers"), "guessed_library",
         *[c.alias(n) for n, c in _common_facts(as_of).items()],
     )
 

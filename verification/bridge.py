@@ -236,6 +236,20 @@ INVENTORY_LEVELS: list[Level] = [
     },
 ]
 
+# -------------------------------------------------------------- folder rules, from customer
+# One rule per customer, for a folder that some of the items lie in, one in six for two folders in a row; four general ones.
+FOLDER_RULE_LEVELS: list[Level] = [
+    {"c": "c_custkey"},
+    {
+        "priority": "CASE WHEN c <= 4 THEN 1000000000 + c ELSE c % 1000 END",
+        "folders": "CASE WHEN c = 1 THEN '/Movies/4K/' WHEN c = 2 THEN '/Movies/DiViX/' WHEN c = 3 THEN '/data/' WHEN c = 4 THEN '/shared 3/' "
+                   "WHEN c % 18 = 3 THEN '/Show ' || cast(c as string) || '/Season 1/' "
+                   "WHEN c % 6 = 0 THEN '/Movies/4K/Title ' || cast(c as string) || '/' "
+                   "ELSE '/Title ' || cast(c as string) || '/' END",
+        "library": "'Shelf ' || cast(CASE WHEN c <= 4 THEN 10 + c ELSE c % 7 END as string)",
+    },
+]
+
 # ----------------------------------------------------------------- proposals, from customer
 PROPOSAL_LEVELS: list[Level] = [
     {"c": "c_custkey"},
@@ -350,6 +364,7 @@ def _duck_views() -> dict[str, str]:
         "b_localized": _duck_levels("documents", LOCALIZED_LEVELS),
         "b_inventory": _duck_levels("documents", INVENTORY_LEVELS),
         "b_proposals": _duck_levels("customer", PROPOSAL_LEVELS),
+        "b_folder_rules": _duck_levels("customer", FOLDER_RULE_LEVELS),
         "b_popular": _duck_levels("part", POPULAR_LEVELS),
         "b_collections": _duck_levels("part", COLLECTION_LEVELS),
     }
@@ -442,6 +457,10 @@ class Bridge:
             F.concat(F.col("first_year").cast("string"), F.lit("-01-01T00:00:00")).alias("date_created"),
         )
 
+    @cached_property
+    def folder_rules(self) -> DataFrame:
+        return _spark_levels(self.table("customer"), FOLDER_RULE_LEVELS).select("priority", "folders", "library")
+
     @cached_property
     def user_data(self) -> DataFrame:
         return self.table("lineitem").selectExpr(

@@ -104,27 +104,27 @@ def _(b: Bridge):
 
 
 # ------------------------------------------------------------------------ utilisation
-_LIB = """CASE WHEN contains(path, '/Movies/4K/') OR contains(path, '/Movies/HD/') THEN 'HD & 4K' WHEN contains(path, '/Movies/DiViX/') THEN 'LQ - Movies'
-WHEN contains(path, '/Movies/Serials/') THEN 'SERIALS' WHEN contains(path, '/Movies/Dokumenty/') THEN 'Documents' ELSE 'Other' END"""
+_LIB = "coalesce((SELECT arg_min(r.library, (r.priority, r.library)) FROM b_folder_rules r WHERE contains({0}, r.folders)), 'Other')"
 _DAYS = "coalesce(date_diff('day', try_cast(left({0}, 10) AS date), DATE '2002-01-01'), 0)"
 _PCT = "coalesce(round_even(cast({0} / nullif({1}, 0) * 100 AS decimal(38, 12)), 1)::double, 0)"
+fragment("o_folder_library", f"SELECT folder, {_LIB.format('folder_path')} AS library FROM (SELECT DISTINCT folder, folder || '/' AS folder_path FROM b_items)")
 fragment("o_movie_facts", f"""SELECT item_id, name, coalesce(production_year, 0) AS year, CASE WHEN production_year IS NULL THEN 'Unknown' ELSE (production_year // 10 * 10) || 's' END AS decade,
 coalesce(lang1, 'Unknown') AS language, coalesce(size, 0) AS size, round_even(cast(coalesce(size, 0) / 1073741824e0 AS decimal(38, 12)), 2)::double AS size_gb, {_DAYS.format('date_created')} AS days,
 CASE WHEN genre1 IS NULL AND genre2 IS NULL THEN '(No genre)' ELSE concat_ws(', ', genre1, genre2) END AS genres_text, coalesce(genre1, genre2, '(No genre)') AS primary_genre,
-{_LIB} AS library, item_id IN (SELECT item_id FROM b_user_data WHERE played) AS played FROM b_items WHERE type = 'Movie'""")
+l.library, item_id IN (SELECT item_id FROM b_user_data WHERE played) AS played FROM b_items JOIN o_folder_library l USING (folder) WHERE type = 'Movie'""")
 fragment("o_watch", """SELECT DISTINCT series_id, user_name FROM b_user_data u JOIN b_items USING (item_id) JOIN b_users USING (user_id) WHERE u.played AND series_id IS NOT NULL""")
 fragment("o_series_facts", f"""SELECT s.item_id, s.name, total_episodes, played_episodes, {_PCT.format('played_episodes', 'total_episodes')} AS pct_watched, played_episodes > 0 AS played,
-coalesce(watchers, '') AS watchers, coalesce(n_watchers, 0) AS n_watchers, {_DAYS.format("(first_year || '-01-01')")} AS days, {_LIB} AS library FROM b_series s JOIN
+coalesce(watchers, '') AS watchers, coalesce(n_watchers, 0) AS n_watchers, {_DAYS.format("(first_year || '-01-01')")} AS days, {_LIB.format("s.path")} AS library FROM b_series s JOIN
 (SELECT series_id, count(*) AS total_episodes, count(*) FILTER (item_id IN (SELECT item_id FROM b_user_data WHERE played)) AS played_episodes FROM b_items WHERE series_id IS NOT NULL GROUP BY 1) e ON e.series_id = s.item_id
 LEFT JOIN (SELECT series_id, array_to_string(list(user_name ORDER BY user_name)[1:5], ', ') AS watchers, count(*) AS n_watchers FROM o_watch GROUP BY 1) w ON w.series_id = s.item_id""")
 
 
 def _movies(b: Bridge):
-    return U.movie_facts(b.items.where("type = 'Movie'"), U.played_items(b.user_data), AS_OF)
+    return U.movie_facts(b.items.where("type = 'Movie'"), U.played_items(b.user_data), b.folder_rules, AS_OF)
 
 
 def _series(b: Bridge):
-    return U.series_facts(b.series, b.items.where("type = 'Episode'"), b.user_data, b.users, AS_OF)
+    return U.series_facts(b.series, b.items.where("type = 'Episode'"), b.user_data, b.users, b.folder_rules, AS_OF)
 
 
 @query("played_sets", """SELECT 'item' AS kind, item_id AS id, '' AS who FROM (SELECT DISTINCT item_id FROM b_user_data WHERE played) UNION ALL
