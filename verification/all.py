@@ -3,7 +3,7 @@
 import importlib
 
 FAMILIES = ("dedupe", "retention", "scalars", "gaps", "genres", "localize", "playback", "inventory", "match",
-            "streams")
+            "streams", "documents")
 for family in FAMILIES:
     importlib.import_module(f"verification.{family}")
 
