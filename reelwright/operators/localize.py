@@ -13,54 +13,90 @@ from reelwright.functions.util import blank, first_non_blank, lower_keys, non_bl
 # ------------------------------------------------------------------- language of texts
 
 
-def train_language_model(labelled: DataFrame, text: str = "text", label: str = "lang",
-                         gram: int = 3, buckets: int = 1 << 14):
-    """Naive Bayes over hashed character n-grams; the model is one row of buckets per language."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import NaiveBayes
-    from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
-
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(labelled)
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_chars", pattern=r"(?s).", gaps=False, minTokenLength=1),
-        NGram(n=gram, inputCol="_chars", outputCol="_grams"),
-        HashingTF(inputCol="_grams", outputCol="_features", numFeatures=buckets),
-        NaiveBayes(featuresCol="_features", labelCol="_label", predictionCol="_predicted"),
-    ]
-    model = Pipeline(stages=stages).fit(indexer.transform(labelled.where(F.length(F.trim(text)) > 0)))
-    names = IndexToString(inputCol="_predicted", outputCol="detected", labels=indexer.labels)
-    return model, names
-
-
-def detect_language(df: DataFrame, model, text: str = "text") -> DataFrame:
-    """Adds ``detected``; null for blank text. Scoring is a map over rows, without a shuffle."""
-    fitted, names = model
-    filled = df.withColumn("_given", F.col(text)).withColumn(text, F.coalesce(F.col(text), F.lit("")))
-    scored = names.transform(fitted.transform(filled))
-    return scored.withColumn("detected", F.when(F.length(F.trim("_given")) > 0, F.col("detected"))).withColumn(
-        text, F.col("_given")
-    ).select(*df.columns, "detected")
+BUCKETS = 4096
+SHARE = 1000
 
 
-# -------------------------------------------------------------------------- candidates
+def _code(text: Column, place: int) -> Column:
+    """Code point of a letter, 0 behind the end."""
+    return F.ascii(F.substring(text, place, 1)).cast("bigint")
+
+
+def _bucket(affix: Column) -> Column:
+    return ((_code(affix, 1) * 961 + _code(affix, 2) * 31 + _code(affix, 3)) % BUCKETS).cast("int")
+
+
+def affix_buckets(text: Column) -> Column:
+    """Buckets of the first and the last three letters of each word, A-Z lower-cased; repeats kept."""
+    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(folded, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.flatten(F.transform(words, lambda w: F.array(_bucket(F.substring(w, 1, 3)), _bucket(F.right(w, F.lit(3))))))
 
 
-def _slavic(language: Column) -> Column:
-    return F.coalesce(language.isin(*K.SLAVIC_LANGUAGES), F.lit(False))
+def train_language_model(labelled: DataFrame, languages: Sequence[str], text: str = "text", label: str = "lang") -> DataFrame:
+    """(language, weights): per language and bucket its share, in thousandths, of the bucket's relative counts.
+
+    All labelled rows of the ``languages`` are counted, in whole numbers and with one added to each count; the counts
+    are combined before the shuffle. The model has 4,096 numbers a language, whatever the size of the input.
+    """
+    known = labelled.where(F.col(label).isin(*languages)).select(F.col(label).alias("language"), F.explode(affix_buckets(F.col(text))).alias("bucket"))
+    counts = known.groupBy("language", "bucket").agg(F.count("*").alias("n"))
+    per_language = counts.groupBy("language").agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("n"), F.sum("n").alias("total"))
+    rate = F.expr(f"((coalesce(try_element_at(n, bucket), 0L) + 1) * 1000000000) div (total + {BUCKETS})")
+    rates = per_language.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1)))).select("language", "bucket", rate.alias("rate"))
+    shares = rates.join(rates.groupBy("bucket").agg(F.sum("rate").alias("sum")), "bucket").select(
+        "language", "bucket", F.expr(f"rate * {SHARE} div sum").alias("weight"))
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "weight")))
+    return shares.groupBy("language").agg(F.transform(ordered, lambda s: s["weight"]).alias("weights"))
+
+
+def detect_language(df: DataFrame, model: DataFrame, languages: Sequence[str], **texts: str) -> DataFrame:
+    """Adds a column per name in ``texts``, with the language of the column it names.
+
+    That is the language with the highest sum of weights, the least name on a tie; null for a text without words.
+    The model is one small value on each row, so that scoring is a map over rows, without a shuffle.
+    """
+    names = sorted(languages)
+    table = model.agg(F.map_from_entries(F.collect_list(F.struct("language", "weights"))).alias("weights")).scalar()
+    given = df.withColumn("_model", table).withColumns({f"_buckets_{out}": affix_buckets(F.col(text)) for out, text in texts.items()})
+
+    def total(buckets: Column, language: str) -> Column:
+        weights = F.try_element_at("_model", F.lit(language))
+        return F.aggregate(buckets, F.lit(0).cast("bigint"), lambda s, b: s + F.get(weights, b))
 
+    def best(buckets: Column) -> Column:
+        scored = F.array(*[F.struct((-total(buckets, name)).alias("score"), F.lit(name).alias("language")) for name in names])
+        learned = F.filter(scored, lambda s: s["score"].isNotNull())
+        return F.when(F.size(buckets) > 0, F.array_min(learned)["language"])
 
-def localization_candidates(items: DataFrame) -> DataFrame:
-    """Items whose text still needs localising, by the languages detected beforehand.
+    found = given.withColumns({out: best(F.col(f"_buckets_{out}")) for out in texts})
+    return found.drop("_model", *[f"_buckets_{out}" for out in texts])
+
+
+def with_detected_languages(items: DataFrame, model: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """Items with ``overview_lang`` and ``tagline_lang`` as detected in their texts; null for a blank text."""
+    return detect_language(items, model, languages, overview_lang="overview", tagline_lang="tagline")
+
+
+# -------------------------------------------------------------------------- candidates
+
+
+def localization_candidates(items: DataFrame, wanted: Sequence[str] = K.SLAVIC_LANGUAGES) -> DataFrame:
+    """Items whose text is not yet in a ``wanted`` language, by the languages that ``with_detected_languages`` found.
 
     A blank text has no language and so counts as not localised.
     """
+    def _localised(language: Column) -> Column:
+        return F.coalesce(language.isin(*wanted), F.lit(False))
+
     episode = (
         non_blank(F.col("series_id")) & F.col("season").isNotNull() & F.col("episode").isNotNull()
-        & ~_slavic(F.col("overview_lang"))
+        & ~_localised(F.col("overview_lang"))
     )
     title = non_blank(provider_id(F.col("provider_ids"), "tmdb")) & (
         (F.coalesce("production_year", F.lit(0)) == 0)
-        | ~_slavic(F.col("overview_lang")) | ~_slavic(F.col("tagline_lang"))
+        | ~_localised(F.col("overview_lang")) | ~_localised(F.col("tagline_lang"))
     )
     return items.where(F.when(F.col("type") == "Episode", episode).otherwise(title))
 

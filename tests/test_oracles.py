@@ -31,12 +31,11 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
-def test_no_cross_joins_and_few_python_plans(spark):
-    python = {"detect_language"}
-    for name in ("delete_safe", "match_by_name", "movie_cleanup", "playback_sessions", "series_facts"):
+def test_no_cross_joins_and_no_python_plans(spark):
+    for name in ("delete_safe", "match_by_name", "movie_cleanup", "playback_sessions", "series_facts", "detect_language", "missing_document"):
         plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
-        assert name in python or "PythonUDF" not in plan, name
+        assert "PythonUDF" not in plan, name
 
 
 def test_language_detection_on_held_out_rows(spark):
