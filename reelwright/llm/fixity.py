@@ -15,17 +15,17 @@ no task sees all records.
 
 Defined results: null url and null html are written as empty; a null id is ordered first and
 written as an empty record id. Equal rows are records of their own, one after the other. Two records
-of one manifest at the same offset are both compared. Empty manifests have no root, which differs
+of one manifest at the same offset are both compared, and a row that one manifest holds more often than the other is damage
+as often as it is in excess. Empty manifests have no root, which differs
 from any root. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelwright.llm.ordering import with_starts
-from reelwright.operators.grouping import spread_join
 from reelwright.session import written
 
 RANGE_BYTES = 1 << 16
@@ -102,7 +102,8 @@ def differing(left: list[DataFrame], right: list[DataFrame]) -> DataFrame | None
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """(offset, kind, length, digest, found_length, found_digest): records in which a replica differs.
 
-    ``kind`` is changed, missing (from the replica) or extra. Inputs have offset, length and digest.
+    ``kind`` is changed, missing (from the replica) or extra. Inputs have offset, length and digest. Where several records
+    differ at one offset, they are paired in order of length and digest; those over are missing or extra.
     """
     names = ["offset", "length", "digest"]
     one, other = (written(side.select(*names), "manifest") for side in (primary, replica))
@@ -115,17 +116,20 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     def inside(side: DataFrame) -> DataFrame:
         return side.withColumn("node", F.floor(F.col("offset") / RANGE_BYTES)).join(wrong, "node", "left_semi").drop("node")
 
-    a, b = inside(one), inside(other)
-    a_only = a.join(b, names, "left_anti")
-    b_only = b.join(a, names, "left_anti").select(
-        "offset", F.col("length").alias("found_length"), F.col("digest").alias("found_digest"))
+    held = inside(one).withColumn("n", F.lit(1)).union(inside(other).withColumn("n", F.lit(-1)))
+    excess = held.groupBy(*names).agg(F.sum("n").alias("n")).where("n <> 0")
+    each = excess.select(*names, (F.col("n") > 0).alias("ours"), F.explode(F.sequence(F.lit(1), F.abs("n")))).drop("col")
+    paired = each.withColumn("place", F.row_number().over(Window.partitionBy("offset", "ours").orderBy("length", "digest")))
+    a_only = paired.where("ours").drop("ours")
+    b_only = paired.where("not ours").select(
+        "offset", "place", F.col("length").alias("found_length"), F.col("digest").alias("found_digest"))
     kind = F.when(F.col("found_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("changed")
-    return a_only.join(b_only, "offset", "full").select(
+    return a_only.join(b_only, ["offset", "place"], "full").select(
         "offset", kind.alias("kind"), "length", "digest", "found_length", "found_digest")
 
 
-def trial_copies(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """An archive of the pages and a copy of it, both damaged by a rule on the page ids, as manifests.
+def trial_copies(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An archive of the pages and a copy of it, both damaged by a rule on the page ids, as manifests; the page of each offset.
 
     Of 200 classes of ids (by the MD5 of the id as text), the copy holds class 7 with a changed first
     character, holds class 77 cut in half, and has lost class 123; the archive has lost class 187.
@@ -140,19 +144,18 @@ def trial_copies(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         group == 77, warc_record(page, F.col("url"), body, cut))
     rows = pages.select("page_id", group.alias("group"), *sealed(sound), *sealed(damaged, "found_"))
     placed = written(laid_out(rows, "page_id"), "archive")
-    archive = placed.where("group <> 187").select("offset", "length", "digest", "page_id")
+    archive = placed.where("group <> 187").select("offset", "length", "digest")
     copy = placed.where("group <> 123").select(
-        "offset", F.coalesce("found_length", "length").alias("length"), F.coalesce("found_digest", "digest").alias("digest"),
-        "page_id")
-    return archive, copy
+        "offset", F.coalesce("found_length", "length").alias("length"), F.coalesce("found_digest", "digest").alias("digest"))
+    return archive, copy, placed.select("offset", "page_id")
 
 
 def audited_pages(pages: DataFrame) -> DataFrame:
     """The audit of ``trial_copies``, with the page of each damaged record."""
-    archive, copy = trial_copies(pages)
-    found = audit(archive, copy)
-    ids = archive.select("offset", "page_id").union(copy.select("offset", "page_id")).distinct()
-    return spread_join(found, ids, "offset").select(
+    archive, copy, places = trial_copies(pages)
+    # Written, so that its size is known: a short list of damage is sent to the places, not the places shuffled.
+    found = written(audit(archive, copy), "damage")
+    return found.join(places, "offset").select(
         "page_id", "offset", "kind", "length", "digest", "found_length", "found_digest")
 
 

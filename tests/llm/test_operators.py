@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from oracle import compare, connect
+from pyspark.sql import functions as F
 
 from reelwright.llm import (
     decontaminate, fixity, language, mixing, nearcopies, records, registered, repeats, simhash, topk, toxicity, urls,
@@ -285,6 +286,32 @@ def test_fixity(spark):
     assert fixity.audit(one.limit(5), one.limit(0)).count() == 5
 
 
+def test_fixity_counts_repeated_records(spark):
+    schema = "offset long, length long, digest string"
+    base = [(i * 10, 10, f"d{i}") for i in range(20_000)]
+    one = spark.createDataFrame([*base, (50, 10, "d5"), (50, 10, "d5"), (90, 10, "d9"), (120, 9, "a")], schema)
+    other = spark.createDataFrame([*base, (90, 10, "d9"), (120, 9, "b"), (120, 9, "c"), (70_000, 10, "d7000")], schema)
+    got = collections.Counter((r.offset, r.kind, r.digest, r.found_digest) for r in fixity.audit(one, other).collect())
+    assert got == {(50, "missing", "d5", None): 2, (120, "changed", "a", "b"): 1, (120, "extra", None, "c"): 1,
+                   (70_000, "extra", None, "d7000"): 1}
+
+
+def test_fixity_of_odd_pages(spark):
+    """Null, empty, repeated and very long pages: each damaged record is reported once, with its page."""
+    rows = [(i, f"http://x/{i}", "body " * (i % 50)) for i in range(900)] * 2
+    rows += [(None, None, None), (None, "", ""), (7, None, "x" * 2_000_000), (1, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive, copy, places = fixity.trial_copies(pages)
+    ours, theirs = ({r.offset: (r.length, r.digest) for r in side.collect()} for side in (archive, copy))
+    page = {r.offset: r.page_id for r in places.collect()}
+    assert len(page) == len(rows)
+    expected = {(page[o], o, *ours.get(o, (None, None)), *theirs.get(o, (None, None))) for o in ours.keys() | theirs.keys() if ours.get(o) != theirs.get(o)}
+    found = fixity.audited_pages(pages.withColumn("offset", F.lit("clash")).withColumn("kind", F.lit(1)))
+    got = [(r.page_id, r.offset, r.length, r.digest, r.found_length, r.found_digest) for r in found.collect()]
+    assert len(got) == len(set(got)) > 0 and set(got) == expected
+    assert fixity.audited_pages(pages.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
