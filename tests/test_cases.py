@@ -36,6 +36,19 @@ def test_episode_key(spark, name, expected):
     assert (row["season"], row["episode"]) == expected
 
 
+def test_red_flag_numbers_round_by_their_binary_value(spark):
+    width, height, rate, codec = (F.col(c) for c in ("w", "h", "rate", "codec"))
+    flag = quality.quality_red_flags(height, rate, quality.bits_per_pixel(rate, width, height), codec)
+    rows = [(1920, 1080, 1150000, "h264"), (1920, 1080, 5750000, "h264"), (1920, 804, 231552, "mpeg4"), (400, 300, 231552, "h264"),
+            (1920, 500, 57600, "h264"), (3840, 2160, 2250000, "hevc")]
+    assert values(spark, flag["reason"], rows, "w int, h int, rate bigint, codec string") == [
+        "1080p under-bitrate: 1.1 Mbps < 5.0 Mbps minimum", "", "720p under-bitrate: 0.2 Mbps < 3.0 Mbps minimum", "",
+        "Critical BPP: 0.0025 < 0.05 minimum", "4K under-bitrate: 2.2 Mbps < 9.8 Mbps minimum"]
+    low = F.col("x")
+    shown = quality.quality_red_flags(F.lit(480), F.lit(1), low, F.lit("mpeg4"))["reason"]
+    assert values(spark, shown, [231552 / (1920 * 804 * 24)], "x double") == ["Critical BPP: 0.0063 < 0.05 minimum"]
+
+
 def test_path_parts(spark):
     norm = values(spark, P.path_norm(F.col("p")), ["C:\\x\\y\\", "/a/b//", None, "/"], "p string")
     assert norm == ["C:/x/y", "/a/b", "", ""]
