@@ -49,6 +49,16 @@ def test_red_flag_numbers_round_by_their_binary_value(spark):
     assert values(spark, shown, [231552 / (1920 * 804 * 24)], "x double") == ["Critical BPP: 0.0063 < 0.05 minimum"]
 
 
+def test_no_table_of_titles_is_sent_through_the_driver(spark):
+    titles = spark.range(300).select(F.concat(F.lit("Title "), F.col("id").cast("string")).alias("title"))
+    pairs = match.title_pairs(titles, titles.where("title <> 'Title 7'"))
+    assert pairs.where("`left` like '%7' and length(`left`) < 8").count() == 10
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert sum("LeftOuter" in line for line in joins) == 2  # an outer join sends its right side only, the heads
+    assert sum("strategy=merge" in line for line in joins) == 2
+
+
 def test_path_parts(spark):
     norm = values(spark, P.path_norm(F.col("p")), ["C:\\x\\y\\", "/a/b//", None, "/"], "p string")
     assert norm == ["C:/x/y", "/a/b", "", ""]
