@@ -623,3 +623,11 @@ def test_sequence_gaps_and_ordered_sources(spark):
     assert got == [("a", 1, 4, 4, "first", "A")] + [("c", 1, x, y, "sequence", "Unknown Series") for x, y in ((1, 1), (3, 4), (6, 8))] + [
         ("d", 1, 1, 1, "sequence", "D"), ("d", 1, 6, 8, "sequence", "D"), ("d", 2, 1, 20240100, "sequence", "D")]
     assert gaps.missing_scan([], episodes.where("false"), series).count() == 0
+
+
+def test_cut_lineage_is_read_by_column(spark):
+    from reelwright.session import cut_lineage
+
+    cut = cut_lineage(spark.range(5).selectExpr("id", "id * 2 AS twice"))
+    assert sorted(r.twice for r in cut.collect()) == [0, 2, 4, 6, 8]
+    assert "ReadSchema: struct<id:bigint>" in cut.select("id")._jdf.queryExecution().executedPlan().toString()
