@@ -60,6 +60,8 @@ def run_waiting(rows: DataFrame, prepare: Prepare, schema: str, settle: Settle,
     """
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int") if key else F.lit(0)
     falls_due = F.col("ts") if due is None else due
+    # Without a key all rows are in one bucket, which several tasks must write.
+    dealt = ["bucket"] if key else ["bucket", F.xxhash64(*[f.split()[0] for f in schema.split(", ")])]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -92,7 +94,7 @@ def run_waiting(rows: DataFrame, prepare: Prepare, schema: str, settle: Settle,
         emit(marked.where("settled").select(*columns), batch_id)
         rest = marked.where("NOT settled").select(*columns).withColumn("bucket", bucket)
         target = f"{state_dir}/waiting/{batch_id}"
-        rest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        rest.repartition(*dealt).write.mode("overwrite").partitionBy("bucket").parquet(target)
         left = spark.read.schema(wide).parquet(target).groupBy("bucket").agg(F.min(falls_due).alias("due")).collect()
         after = [(b, r["version"], r["due"], None) for b, r in before.items() if b != ALL and b not in touched]
         after += [(r["bucket"], batch_id, r["due"], None) for r in left]

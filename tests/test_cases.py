@@ -631,3 +631,20 @@ def test_cut_lineage_is_read_by_column(spark):
     cut = cut_lineage(spark.range(5).selectExpr("id", "id * 2 AS twice"))
     assert sorted(r.twice for r in cut.collect()) == [0, 2, 4, 6, 8]
     assert "ReadSchema: struct<id:bigint>" in cut.select("id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_a_key_wait_in_many_files(spark, tmp_path):
+    from reelwright.streaming import waiting
+
+    base, schema = str(tmp_path), "ts timestamp, event_id bigint"
+    spark.range(2000).selectExpr("timestamp_seconds(id) AS ts", "id AS event_id").write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        waiting.run_waiting(stream, lambda b: b.select("ts", "event_id"), schema, lambda rows, clock: rows.withColumn(
+            "settled", F.lit(False)), lambda rows, i: None, f"{base}/state", f"{base}/checkpoint", 0).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [f for f in os.listdir(f"{base}/state/waiting/0/bucket=0") if f.endswith(".parquet")]
+    assert len(files) > 1
+    assert spark.read.parquet(f"{base}/state/waiting/0/bucket=0").count() == 2000
