@@ -11,7 +11,7 @@ mask and added to that with the bit of repeats; the counters are right after eve
 
 State is a log: a micro-batch writes the new least documents as a segment of its own and its changes of the counters
 as another, named by its number, and reads only segments of smaller numbers. So a micro-batch that is run again writes the same,
-and none rewrites state. A segment holds hashes, ids and masks, no text.
+and none rewrites state. A segment holds hashes, ids and masks, no text; one of least documents also names those that it takes back (``old``).
 
 Defined results: null texts are empty; a null part is the empty part. A null doc_id is smaller and greater than none, so
 its document neither fails by repeats nor lets others fail. Repeated rows count each; of equal ids none is smaller. Labels
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelwright.operators.grouping import spread_join
@@ -43,7 +43,7 @@ CONTINUED = bytes(range(0x80, 0xC0))  # bytes of UTF-8 that begin no code point
 MICRO_BATCHES = 8
 
 MARKS = "doc_id long, part string, mask int, key binary"
-ROWS = "key binary, doc_id long, part string, mask int, good int, toxic int, n long"
+ROWS = "key binary, doc_id long, part string, mask int, good int, toxic int, n long, old boolean"
 CHANGES = "part string, mask int, n long, good long, toxic long"
 
 
@@ -105,28 +105,29 @@ class Folder:
 def take(batch: DataFrame, number: int, labels: DataFrame, folder: Folder, **columns: str) -> None:
     """Add one micro-batch to the state and write the changes of the counters."""
     spark = batch.sparkSession
+    files = max(1, batch.rdd.getNumPartitions())  # a segment has as many as the texts were read in, not as shuffles have partitions
     labelled = spread_join(marks(batch, **columns), spark.read.schema(labels.schema).parquet(f"{folder.path}/labels"), "doc_id", "left")
     rows = folder.write(labelled.select("key", "doc_id", "part", "mask", F.coalesce("good", F.lit(0)).alias("good"),
-                                        F.coalesce("toxic", F.lit(0)).alias("toxic"), F.lit(1).cast("long").alias("n")), "marks", number)
-    own = rows.where("doc_id is not null").withColumn("old", F.lit(False))
-    kept = folder.before(spark, "heads", ROWS, number)
-    # Keys of this micro-batch only; a text may have been met any number of times before.
-    old = spread_join(kept, own.select("key").distinct(), "key").withColumn("old", F.lit(True))
-    met = own.unionByName(old)
-    least = met.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("old"), F.col("doc_id"))).alias("was"))
-    placed = spread_join(met, least, "key")
+                                        F.coalesce("toxic", F.lit(0)).alias("toxic"), F.lit(1).cast("long").alias("n")).coalesce(files), "marks", number)
+    # Of each text only its least documents move, cut down before they are shuffled, so that many copies are few rows.
+    first = rows.where("doc_id is not null").withColumn("rank", F.rank().over(Window.partitionBy("key").orderBy("doc_id"))).where("rank = 1")
+    own = first.groupBy("key", "doc_id", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).withColumn("old", F.lit(False))
+    kept = folder.before(spark, "heads", ROWS, number).where("not old").withColumn("old", F.lit(True))
+    # A text may have been met any number of times before.
+    text, old = Window.partitionBy("key"), F.col("old")
+    placed = own.unionByName(kept).select(
+        "*", F.min("doc_id").over(text).alias("least"), F.min(F.when(old, F.col("doc_id"))).over(text).alias("was"))
     is_least = F.col("doc_id") == F.col("least")
-    heads = placed.where(~F.col("old") & is_least).groupBy("key", "doc_id", "part", "mask", "good", "toxic").agg(F.sum("n").alias("n"))
-    folder.write(heads, "heads", number)
+    overtaken = (F.col("doc_id") == F.col("was")) & (F.col("least") < F.col("was"))
+    heads = folder.write(placed.where((~old & is_least) | (old & overtaken)).select(*own.columns).coalesce(files), "heads", number)
     repeated = F.col("mask").bitwiseOR(F.lit(REPEAT))
-    counted = placed.where(~F.col("old")).withColumn("mask", F.when(is_least, F.col("mask")).otherwise(repeated))
-    overtaken = placed.where(F.col("old") & (F.col("doc_id") == F.col("was")) & (F.col("least") < F.col("was")))
-    names = ["part", "mask", "good", "toxic", "n"]
-    changes = [rows.where("doc_id is null"), counted, overtaken.withColumn("n", -F.col("n")), overtaken.withColumn("mask", repeated)]
-    union = changes[0].select(*names)
-    for c in changes[1:]:
-        union = union.unionByName(c.select(*names))
-    folder.write(_changes(union).select("part", "mask", "n", "good", "toxic"), "changes", number)
+    # All count as repeats; least documents are taken out of these again, overtaken ones are put in.
+    counted = rows.withColumn("mask", F.when(F.col("doc_id").isNull(), F.col("mask")).otherwise(repeated))
+    least_n = F.when(old, -F.col("n")).otherwise(F.col("n"))
+    both = F.explode(F.array(F.struct("mask", least_n.alias("n")), F.struct(repeated.alias("mask"), (-least_n).alias("n")))).alias("c")
+    corrected = heads.select("part", "good", "toxic", both).select("part", "c.mask", "good", "toxic", "c.n")
+    union = counted.select(*corrected.columns).unionByName(corrected)
+    folder.write(_changes(union).select("part", "mask", "n", "good", "toxic").coalesce(files), "changes", number)
 
 
 def counters(spark: SparkSession, path: str, labels: DataFrame, micro_batches: int = MICRO_BATCHES, folder: str | None = None,

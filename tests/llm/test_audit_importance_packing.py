@@ -88,6 +88,30 @@ def test_audit_goes_on_where_it_was_broken_off(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == plain_report([(i, s, t) for i, t, s in ODD], {4}, set())
 
 
+def test_a_micro_batch_of_the_audit_writes_few_files(spark, tmp_path):
+    """A segment has no more files than its micro-batch was read in, however many partitions a shuffle has."""
+    path, deal = str(tmp_path / "documents.parquet"), {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                                                        "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    spark.range(3000).selectExpr("id AS doc_id", "concat('copy ', id div 2) AS text", "'s' AS source").repartition(2).write.parquet(path)
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    state = audit.Folder(spark, str(tmp_path / "state"))
+    audit.label_rows(labels).write.parquet(f"{state.path}/labels")
+    before = {k: spark.conf.get(k) for k in deal}
+    try:
+        for k, v in deal.items():
+            spark.conf.set(k, v)
+        audit.take(spark.read.parquet(path), 0, audit.label_rows(labels), state)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    read_in = spark.read.parquet(path).rdd.getNumPartitions()
+    for name in ("marks", "heads", "changes"):
+        assert len(list((tmp_path / "state" / name / "segment=0").glob("*.parquet"))) <= read_in
+    found = spark.read.parquet(f"{state.path}/changes/segment=0").groupBy("mask").sum("n", "good").collect()
+    alone = audit.failed(b"copy 1")
+    assert sorted(map(tuple, found)) == [(alone, 1500, 1), (alone | audit.REPEAT, 1500, 0)]
+
+
 def test_audit_of_nothing(spark, tmp_path):
     path = str(tmp_path / "documents.parquet")
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(path)
