@@ -524,6 +524,62 @@ def test_a_task_keeps_few_edges_in_memory(spark, monkeypatch):
     assert len(sent) > 3 and components.forest(p for b in sent for p in zip(*(c.to_pylist() for c in b.columns))) == {i: 0 for i in range(1, 501)}
 
 
+def test_tasks_join_edges_on_arrays_as_pair_by_pair():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    names = [f"{c}{i}" for c in ("a", "é", "z", "\U0001f600") for i in range(60)]
+    pairs = [sorted(rng.sample(names, 2), reverse=True) for _ in range(150)]
+    rng.shuffle(pairs)
+    batches = [pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs[i:i + 40]]), pa.array([x[1] for x in pairs[i:i + 40]])], ["u", "v"])
+               for i in range(0, 150, 40)]
+    sent = [p for b in components._contracted(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert dict(sent) == components.forest(iter(pairs)) and len(dict(sent)) == len(sent)
+
+
+def test_edges_of_an_item_come_out_in_one_partition(spark):
+    entries = spark.range(400).select(
+        F.explode(F.array(*[F.struct(F.lit(p).alias("provider"), (F.col("id") % n).cast("string").alias("pid"))
+                            for p, n in (("imdb", 40), ("tmdb", 50), ("tvdb", 70))])).alias("e"),
+        F.format_string("%03d", "id").alias("item_id"), F.lit(False).alias("is_episode"),
+        F.lit(None).cast("string").alias("series_name"), F.lit(None).cast("int").alias("season"), F.lit(None).cast("int").alias("episode"),
+    ).select("e.*", "item_id", "is_episode", "series_name", "season", "episode")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        edges = index.duplicate_edges(entries).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len({(e["src"], e["dst"]) for e in edges}) == len(edges) > 900
+    assert len({(e["src"], e["at"]) for e in edges}) == len({e["src"] for e in edges}) < len(edges)
+
+
+def test_groups_are_verified_with_one_join_of_the_members(spark):
+    rows = [("a", "1", True, "X|S1E1"), ("a", "2", True, "X|S1E1"), ("a", "3", True, "X|S1E2"), ("a", "4", False, None), ("a", "5", False, None),
+            ("b", "6", False, None), ("b", "7", False, "NON"), ("c", "8", None, "q"), ("c", "9", None, "r"), ("d", "10", True, ""), ("d", "11", True, "")]
+    members = spark.createDataFrame(rows, "component string, item_id string, is_episode boolean, series_key string")
+    groups = select.verify_groups(members)
+    assert {(r["group_id"], r["item_id"]) for r in groups.collect()} == {
+        ("1", "1"), ("1", "2"), ("6", "6"), ("6", "7"), ("8", "8"), ("8", "9"), ("10", "10"), ("10", "11")}
+    plan = groups._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2
+
+
+def test_file_names_are_searched_once(spark):
+    names = ["Show S01E02 3x04.mkv", "3x04 then s05e06", "a 101 b s1.e2", "s2_e3 and 405", "Show 000x000", "x 1234 y", "", None, "two\nlines 007X08", "S1E"]
+    found = spark.createDataFrame([("/f/" + n if n is not None else None,) for n in names], "p string").select(
+        P.episode_key_from_filename(F.col("p")).alias("k"))
+    assert [(r["k"]["season"], r["k"]["episode"]) for r in found.collect()] == [
+        ("1", "2"), ("5", "6"), ("1", "2"), ("2", "3"), ("0", "0"), (None, None), (None, None), (None, None), ("7", "8"), (None, None)]
+    keyed = select.with_episode_key(spark.createDataFrame(
+        [("S", "/f/a 1x2"), ("", "/f/a 1x2"), (None, "/f/a 1x2"), ("S", ""), ("S", None), ("S", "/f/a")], "series_name string, path string"))
+    assert [r["_key"] for r in keyed.collect()] == ["S|S1E2", None, None, None, None, None] and keyed.columns == ["series_name", "path", "_key"]
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("regexp_replace") == 1 and "RLIKE" not in plan
+
+
 # ------------------------------------------------------------------- snapshots and stores
 def test_a_broken_write_leaves_the_old_version(spark, tmp_path):
     from reelwright.sources import snapshots
