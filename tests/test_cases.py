@@ -580,6 +580,35 @@ def test_file_names_are_searched_once(spark):
     assert plan.lower().count("regexp_replace") == 1 and "RLIKE" not in plan
 
 
+def dedupe_items(spark):
+    """Two films with two copies each in a shared folder, one copy without streams."""
+    from reelwright.schemas import ITEMS
+
+    rows = [{"item_id": str(i), "name": f"T{i % 2}", "path": f"/m/shared/T{i % 2} {i}.mkv", "library": "L", "is_folder": False, "size": 10 * i,
+             "provider_ids": {"Imdb": f"tt{i % 2}"}, "date_created": f"2020-01-0{i}T00:00:00", "runtime_ticks": 600000000,
+             "media_streams": [{"type": "Video", "width": 1920, "height": 1080, "codec": "h264", "bit_rate": 1000000 * i}] if i < 6 else None}
+            for i in range(1, 7)]
+    return spark.createDataFrame(rows, ITEMS)
+
+
+def test_streams_are_rated_before_they_are_joined(spark):
+    from reelwright.plans import dedupe
+
+    rated = dedupe.rated_members(dedupe_items(spark))
+    assert {r["item_id"] for r in rated.collect()} == {"1", "2", "3", "4", "5"}
+    chosen = select.smart_override(rated)
+    assert {(r["group_id"], r["keep_id"], r["n_items"]) for r in chosen.collect()} == {("1", "5", 3), ("2", "4", 2)}
+    waiting, joins = [chosen._jdf.queryExecution().optimizedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joins += 1
+            assert not any("media_streams" in x.output().mkString(",") for x in below)
+        waiting += below
+    assert joins
+
+
 # ------------------------------------------------------------------- snapshots and stores
 def test_a_broken_write_leaves_the_old_version(spark, tmp_path):
     from reelwright.sources import snapshots
