@@ -609,6 +609,31 @@ def test_streams_are_rated_before_they_are_joined(spark):
     assert joins
 
 
+def test_decisions_are_written_with_the_columns_that_are_read(spark):
+    from reelwright.plans import dedupe
+
+    items = dedupe_items(spark)
+    full, few = dedupe.guarded_decisions(items), dedupe.guarded_decisions(items, columns=("size",))
+    assert "date_added" in full.columns and "rating" in full.columns
+    dropped = {"rating", "languages", "lang_rank", "priority_language", "library", "is_episode", "series_name", "season", "episode",
+               "provider_id", "tmdb_id", "date_added", "codec"}
+    assert set(full.columns) - set(few.columns) == dropped and set(few.columns) <= set(full.columns)
+    assert sorted(map(str, full.select(few.columns).collect())) == sorted(map(str, few.collect())) and few.count() == 5
+    rated = dedupe.decide(items, columns=("rating",))
+    assert sorted(map(str, rated.collect())) == sorted(map(str, dedupe.decide(items).select(rated.columns).collect()))
+
+
+def test_surviving_paths_are_compared_by_their_hash(spark):
+    known = spark.createDataFrame([("/m/a/1.mkv",), (r"\m\a\1.mkv",), ("/m/a/2.mkv/",), ("/m/a/2.mkv",), ("/m/b/3.mkv",)], "path string")
+    found = guard.surviving_paths(known, spark.createDataFrame([("/m/b/3.mkv",), ("/m/b/3.mkv/",)], "path string"))
+    assert sorted(map(tuple, found.collect())) == [("/m/a/1.mkv", "/m/a"), ("/m/a/2.mkv", "/m/a")] and found.columns == ["npath", "dir"]
+    assert "_hash" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 # ------------------------------------------------------------------- snapshots and stores
 def test_a_broken_write_leaves_the_old_version(spark, tmp_path):
     from reelwright.sources import snapshots
